@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsledger.llm.common import cut, lower_az
+from opsledger.llm.common import cut, lower_az, small
 
 #: Bits of one piece of the filter, as bitmap_construct_agg makes them.
 PIECE_BITS = 32768
@@ -52,7 +52,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     tested = cut(possibly_repeated(hashed, "sha"))
     suspect = tested.where("suspect").drop("suspect")
     alone = tested.where("not suspect").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    groups = suspect.groupBy("sha").agg(F.count("*").alias("group_size"), F.max(F.struct("id", "row")).alias("best"))
-    shared = suspect.join(groups, "sha").select("id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "sha")
+    groups = cut(suspect.groupBy("sha").agg(F.count("*").alias("group_size"), F.max(F.struct("id", "row")).alias("best")))
+    shared = suspect.join(small(groups, 150), "sha").select("id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "sha")
     out = alone.unionByName(shared)
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))

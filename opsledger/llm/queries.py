@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,9 @@ from opsledger.llm.exact_dedup import exact_dedup
 from opsledger.llm.line_dedup import line_dedup
 from opsledger.llm.mixing import mix
 from opsledger.llm.sentence_dedup import sentence_dedup
+from opsledger.llm.tokens import encode_documents, token_digests
 from opsledger.llm.url_filter import filter_urls
+from opsledger.llm.warc import archive, read_archives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +43,17 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_archives(archive(table(spark, sf_dir, "pages")))
+
+
+def op9_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_digests(spark, folder)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_exact_dedup, op5_line_dedup, op6_mixing, op7_substring_dedup, op8_url_filter)}
+    return {f.__name__: f for f in (op3_warc, op9_token_parquet, op4_exact_dedup, op5_line_dedup, op6_mixing, op7_substring_dedup, op8_url_filter)}
 
 
 #: A-Z only.
@@ -82,5 +94,15 @@ SELECT page_id, host, path, rule, coalesce(says, 'allow') AS verdict FROM m WHER
 """
 
 
+OP3 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS payload_digest, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS largest FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> largest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> largest THEN largest END AS refers_to
+FROM g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4, "op5_line_dedup": OP5, "op8_url_filter": OP8}
+    return {"op3_warc": OP3, "op4_exact_dedup": OP4, "op5_line_dedup": OP5, "op8_url_filter": OP8}
