@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsledger.llm.decontaminate import find_leaks
 from opsledger.llm.exact_dedup import exact_dedup
 from opsledger.llm.line_dedup import line_dedup
 from opsledger.llm.mixing import mix
+from opsledger.llm.ngram_join import ngram_components
 from opsledger.llm.sentence_dedup import sentence_dedup
 from opsledger.llm.tokens import encode_documents, token_digests
 from opsledger.llm.url_filter import filter_urls
@@ -43,6 +45,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, and the item."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(archive(table(spark, sf_dir, "pages")))
 
@@ -52,8 +59,12 @@ def op9_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, folder)
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_warc, op9_token_parquet, op4_exact_dedup, op5_line_dedup, op6_mixing, op7_substring_dedup, op8_url_filter)}
+    return {f.__name__: f for f in (op1_decontamination, op3_warc, op9_token_parquet, op4_exact_dedup, op5_line_dedup, op6_mixing, op7_substring_dedup, op8_url_filter, op10_ngram_join)}
 
 
 #: A-Z only.
