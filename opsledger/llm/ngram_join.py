@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opsledger.llm.blocks import SCHEMA, batch_of, blocks_of, packed, unpacked
 from opsledger.llm.common import connected_components, cut, small
 from opsledger.llm.shingle_trie import cross_links, self_links
 from opsledger.llm.wordhash import shingle_sets
@@ -21,39 +22,9 @@ FREQUENT, FREQUENT_CLASS = 64, 255
 #: Tokens that one trie task stores, and what a document weighs besides its tokens.
 TASK_TOKENS, DOC_WEIGHT = 1_000_000, 64
 POSTINGS, META = 0, 1
-SCHEMA = "part long, block long, kind int, data binary"
-NAMES = ["part", "block", "kind", "data"]
 SETS = "doc_id long, n long, k1 long, k2 long, prefix array<long>, tokens binary"
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns as zstd of their byte planes, ascending uint64 ones by their differences."""
-    codec, out = pa.Codec("zstd", compression_level=1), [np.int64(len(columns[0])).tobytes()]
-    for c in columns:
-        if c.dtype == np.uint64 and len(c):
-            c = np.concatenate([c[:1], c[1:] - c[:-1]])
-        raw = np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes()
-        data = codec.compress(raw, asbytes=True) if raw else b""
-        out += [np.int64(len(data)).tobytes(), data]
-    return b"".join(out)
-
-
-def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
-    codec, n, at, out = pa.Codec("zstd"), int(np.frombuffer(data, np.int64, 1)[0]), 8, []
-    for kind in map(np.dtype, kinds):
-        size = int(np.frombuffer(data, np.int64, 1, at)[0])
-        raw = codec.decompress(data[at + 8 : at + 8 + size], n * kind.itemsize, asbytes=True) if n else b""
-        c = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T).view(kind).reshape(n)
-        out.append(np.cumsum(c, dtype=np.uint64) if kind == np.uint64 else c)
-        at += 8 + size
-    return out
-
-
-def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [[]] * 4
-    return pa.record_batch([pa.array(x, k) for x, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=NAMES)
-
-
 def _block_rows(block: int, ids: list, texts: list[bytes], ranges: int) -> Iterator[pa.RecordBatch]:
     """What a block of documents sends: its shingles to their hash ranges, and what only it needs back, on any range."""
     sets = shingle_sets(texts)
@@ -61,7 +32,7 @@ def _block_rows(block: int, ids: list, texts: list[bytes], ranges: int) -> Itera
     digests = b"".join(blake2b(x.tobytes(), digest_size=16).digest() for x in sets)
     names = np.array([0 if k is None else k for k in ids], dtype=np.int64)
     absent = np.array([k is None for k in ids], dtype=np.uint8)
-    meta = _pack(names.view(np.int64), absent, sizes) + digests
+    meta = packed(names.view(np.int64), absent, sizes) + digests
     tokens = np.concatenate(sets)
     docs = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
     order = np.argsort(tokens, kind="stable")
@@ -70,35 +41,21 @@ def _block_rows(block: int, ids: list, texts: list[bytes], ranges: int) -> Itera
     counts = np.diff(np.concatenate([first, [len(tokens)]]))
     often = counts >= FREQUENT
     hot = np.repeat(often, counts)
-    yield _batch([(block % ranges, block, META, np.int64(len(meta)).tobytes() + meta + _pack(tokens[hot], docs[hot]))])
+    yield batch_of([(block % ranges, block, META, np.int64(len(meta)).tobytes() + meta + packed(tokens[hot], docs[hot]))])
     keep = ~hot
     keep[first[often]] = True  # one entry says that the shingle is frequent here
     tokens, docs = tokens[keep], np.where(hot[keep], np.uint32(0xFFFFFFFF), docs[keep])
     part = ((tokens >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
     edges = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
-    rows = [(r, block, POSTINGS, _pack(tokens[a:b], docs[a:b])) for r, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+    rows = [(r, block, POSTINGS, packed(tokens[a:b], docs[a:b])) for r, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
     for i in range(0, len(rows), 256):
-        yield _batch(rows[i : i + 256])
+        yield batch_of(rows[i : i + 256])
 
 
 def _to_ranges(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        block = TaskContext.get().partitionId() << 24
-        ids, texts, size = [], [], 0
-        for batch in batches:
-            for k, text in zip(batch.column(0), batch.column(1)):
-                data = text.as_buffer()
-                body = data.to_pybytes() if data is not None else b""
-                if ids and size + len(body) > BLOCK_BYTES:
-                    yield from _block_rows(block, ids, texts, ranges)
-                    block, ids, texts, size = block + 1, [], [], 0
-                ids.append(k.as_py())
-                texts.append(body)
-                size += len(body)
-        if ids:
-            yield from _block_rows(block, ids, texts, ranges)
+        for block, columns, texts in blocks_of(batches, BLOCK_BYTES):
+            yield from _block_rows(block, columns[0], texts, ranges)
 
     return run
 
@@ -110,7 +67,7 @@ def _share(table: pa.Table) -> pa.Table:
         if kind == META:
             rows.append((0, block, META, data.as_py()))
         else:
-            t, d = _unpack(data.as_py(), "u8", "u4")
+            t, d = unpacked(data.as_py(), "u8", "u4")
             tokens.append(t)
             docs.append(d)
             blocks.append(np.full(len(t), block, dtype=np.int64))
@@ -129,8 +86,8 @@ def _share(table: pa.Table) -> pa.Table:
         t, d, b, c = t[order], d[order], b[order], c[order]
         own, at = np.unique(b, return_index=True)
         for k, a, z in zip(own.tolist(), at, [*at[1:], len(b)]):
-            rows.append((0, k, POSTINGS, _pack(t[a:z], d[a:z], c[a:z])))
-    return pa.Table.from_batches([_batch(rows)])
+            rows.append((0, k, POSTINGS, packed(t[a:z], d[a:z], c[a:z])))
+    return pa.Table.from_batches([batch_of(rows)])
 
 
 def _collect(table: pa.Table) -> pa.Table:
@@ -142,14 +99,14 @@ def _collect(table: pa.Table) -> pa.Table:
         if kind == META:
             n = int(np.frombuffer(data, np.int64, 1)[0])
             meta = data[8 : 8 + n]
-            hot, where = _unpack(data[8 + n :], "u8", "u4")
-            names, absent, sizes = _unpack(meta, "i8", "u1", "i8")
+            hot, where = unpacked(data[8 + n :], "u8", "u4")
+            names, absent, sizes = unpacked(meta, "i8", "u1", "i8")
             digests = np.frombuffer(meta[len(meta) - 16 * len(names) :], dtype="<i8").reshape(-1, 2)
             tokens.append(hot)
             docs.append(where)
             kinds.append(np.full(len(hot), FREQUENT_CLASS, dtype=np.uint8))
         else:
-            t, d, c = _unpack(data, "u8", "u4", "u1")
+            t, d, c = unpacked(data, "u8", "u4", "u1")
             tokens.append(t)
             docs.append(d)
             kinds.append(c)

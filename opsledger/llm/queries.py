@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from opsledger.llm.decontaminate import find_leaks
 from opsledger.llm.exact_dedup import exact_dedup
+from opsledger.llm.kneser_ney import classify
 from opsledger.llm.line_dedup import line_dedup
 from opsledger.llm.mixing import mix
 from opsledger.llm.ngram_join import ngram_components
@@ -50,6 +51,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity and whether its language's threshold accepts it."""
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(archive(table(spark, sf_dir, "pages")))
 
@@ -64,7 +70,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op3_warc, op9_token_parquet, op4_exact_dedup, op5_line_dedup, op6_mixing, op7_substring_dedup, op8_url_filter, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_decontamination, op2_quality, op3_warc, op9_token_parquet, op4_exact_dedup, op5_line_dedup, op6_mixing, op7_substring_dedup, op8_url_filter, op10_ngram_join)}
 
 
 #: A-Z only.

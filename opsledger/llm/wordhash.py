@@ -43,16 +43,42 @@ def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return turn[::2], turn[1::2]
 
 
-def _hash(data: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+#: What marks a word's shape: bytes of capitals (A-Z), digits, and other signs of ASCII.
+_SIGNS = np.zeros((3, 256), dtype=np.uint8)
+_SIGNS[0, 65:91] = _SIGNS[1, 48:58] = 1
+_SIGNS[2, [x for x in range(33, 127) if not chr(x).isalnum()]] = 1
+SHAPES = 54
+
+
+def _shapes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """0 to SHAPES - 1: no, one or more capitals; no, one or more signs or digits; and three lengths, with or without digits."""
+    capital, digit, sign = (np.concatenate([[0], np.cumsum(t[data], dtype=np.uint32)]) for t in _SIGNS)
+    count = lambda x: x[b] - x[a]
+    length = np.digitize(b - a, (4, 10))
+    return np.minimum(count(capital), 2) + 3 * np.minimum(count(sign), 2) + 9 * length + 27 * np.minimum(count(digit), 1)
+
+
+def _hash(data: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     up, down = _grown(len(data) + 1)
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((_FOLDED if fold else _VALUE)[data] * up[: len(data)], dtype=np.uint64)])
     a, b = spans(data)
-    return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * _ODD), a
+    return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * _ODD), a, b
 
 
-def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, number of words of each text); A-Z count as a-z if fold."""
+def word_hashes(texts: list[bytes], fold: bool = True, shapes: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, number of words of each text); A-Z count as a-z if fold.
+
+    shapes, if given, gets arrays that hold the words' shapes.
+    """
     hashes, counts, i = [], np.zeros(len(texts), dtype=np.int64), 0
+
+    def add(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, a, b = _hash(data, fold)
+        hashes.append(found)
+        if shapes is not None:
+            shapes.append(_shapes(data, a, b))
+        return found, a
+
     while i < len(texts):
         j, size = i, 0
         while j < len(texts) and (j == i or size + len(texts[j]) < CHUNK):
@@ -64,14 +90,10 @@ def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.n
                 end = min(len(text), at + CHUNK)
                 while end < len(text) and not _BLANK[text[end]]:
                     end += 1
-                found, _ = _hash(np.frombuffer(text, dtype=np.uint8, count=end - at, offset=at), fold)
-                hashes.append(found)
-                counts[i] += len(found)
+                counts[i] += len(add(np.frombuffer(text, dtype=np.uint8, count=end - at, offset=at))[0])
                 at = end
         elif size > j - i:
-            data = np.frombuffer(b"\n".join(texts[i:j]), dtype=np.uint8)
-            found, starts = _hash(data, fold)
-            hashes.append(found)
+            _, starts = add(np.frombuffer(b"\n".join(texts[i:j]), dtype=np.uint8))
             edges = np.cumsum([len(x) + 1 for x in texts[i:j]])
             counts[i:j] = np.diff(np.searchsorted(starts, np.concatenate([[0], edges])))
         i = j
@@ -94,7 +116,7 @@ def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
         elif c:
             total = np.zeros(1, dtype=np.uint64)
             for k in range(c):
-                total += words[at + k] * weights[k]
+                total += words[at + k : at + k + 1] * weights[k]
             sets.append(mix(total ^ np.uint64(c)))
         else:
             sets.append(np.zeros(0, dtype=np.uint64))
