@@ -1 +1 @@
-
+"""Streams: log tails and latest values."""
