@@ -30,7 +30,10 @@ def snapshots(outputs: DataFrame, column: str = "output") -> DataFrame:
 
 
 def executables(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, valid): files whose header is that of a 64-bit ARM position-independent executable."""
+    """(path, length, valid): files whose header is that of a 64-bit ARM position-independent executable.
+
+    Spark's binaryFile source leaves out hidden and empty files, none of which are executables.
+    """
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", "length", elf_ok(F.col("content"), F.col("length")).alias("valid"))
 
