@@ -64,11 +64,27 @@ def fits_broadcast(df: DataFrame, row_bytes: int, limit_bytes: int = 64 << 20) -
     return df.limit(limit_bytes // row_bytes + 1).count() <= limit_bytes // row_bytes
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, one for each of names."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """A computed table, marked for broadcast where its counted rows are few enough; else Spark joins it by shuffle."""
     return F.broadcast(df) if fits_broadcast(df, row_bytes) else df
 
 
+def small_by_bytes(df: DataFrame, size: Column, limit_bytes: int = 64 << 20) -> DataFrame:
+    """As small(), for rows of no bounded size: the sum of `size` over the rows of a computed table decides."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit_bytes else df
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step on edges (u, v): neighbours attach to the smallest node that u sees."""
     back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))

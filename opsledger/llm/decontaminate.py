@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsledger.llm.common import cut, small
+from opsledger.llm.common import cut, fresh, small
 
 #: Errors allowed per character of a test item, characters of the shortest piece, and of the grams that filter windows.
 RATE, LEAST_PIECE, GRAM = 0.1, 8, 6
@@ -161,5 +161,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_
 
     The leaking ids are broadcast where they are few; else the documents meet them in a shuffle.
     """
-    leaks = cut(find_leaks(docs, benchmark, rate, id_col, text_col).select(F.col("doc_id").alias("__leak")).distinct())
-    return docs.join(small(leaks, 40), F.col(id_col).eqNullSafe(F.col("__leak")), "left_anti")
+    leak, = fresh(docs, "leak")
+    leaks = cut(find_leaks(docs, benchmark, rate, id_col, text_col).select(F.col("doc_id").alias(leak)).distinct())
+    return docs.join(small(leaks, 40), F.col(id_col).eqNullSafe(F.col(leak)), "left_anti")

@@ -1,0 +1,99 @@
+"""The n-gram join against all pairs."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from opsledger.llm.ngram_join import ngram_components
+from opsledger.llm.shingle_trie import Forest, Trie, cross_links, self_links
+from opsledger.llm.wordhash import shingle_sets
+from tests.llm.conftest import corpus, frame, words
+
+AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def sets_of(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(AZ))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute(rows):
+    named = [(k, sets_of(t)) for k, t, *_ in rows]
+    forest = Forest()
+    for i, (k, a) in enumerate(named):
+        for j, b in named[:i]:
+            both = len(a & b)
+            if k is not None and j is not None and both and 100 * both >= 80 * len(a | b):
+                forest.join(k, j)
+    return Counter((k, len(s), None if k is None else forest.root(k)) for k, s in named)
+
+
+@pytest.mark.parametrize("task_tokens", [1_000_000, 300])
+def test_components(spark, docs, rows, task_tokens):
+    assert Counter(map(tuple, ngram_components(docs, task_tokens=task_tokens).collect())) == brute(rows)
+
+
+def chain(seed):
+    """Near copies of near copies: one component that no single document links as a whole; and a passage in many texts."""
+    rng = random.Random(seed)
+    rows, text = [], words(rng, 90, 10_000).split(" ")
+    shared = words(rng, 55, 10_000)
+    for i in range(70):
+        text = list(text)
+        text[rng.randrange(len(text))] = f"n{i}"
+        rows.append((i, " ".join(text), "en", "a"))
+        rows.append((1000 + i, f"{words(rng, 30, 10_000)} {shared} {words(rng, 30, 10_000)}", "en", "a"))
+    return rows
+
+
+@pytest.mark.parametrize("task_tokens", [1_000_000, 800])
+def test_chains(spark, task_tokens):
+    rows = chain(3)
+    assert Counter(map(tuple, ngram_components(frame(spark, rows), task_tokens=task_tokens).collect())) == brute(rows)
+
+
+def test_frequent_shingles(spark, monkeypatch):
+    from opsledger.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "FREQUENT", 3)
+    rows = corpus(5, 80)
+    assert Counter(map(tuple, ngram_components(frame(spark, rows)).collect())) == brute(rows)
+
+
+def test_empty_table(none):
+    assert ngram_components(none).count() == 0
+
+
+def test_trie_finds_all():
+    rng = random.Random(7)
+    for _ in range(30):
+        base = sorted(rng.sample(range(200), 60))
+        sets = []
+        for k in range(25):
+            own = sorted({x if rng.random() < 0.95 else rng.randrange(200) for x in base} | set(rng.sample(range(200), rng.randrange(4))))
+            sets.append((k, len(own) + rng.randrange(3), np.array(own, dtype=np.uint64)))
+        links = lambda a, b: 9 * len(np.intersect1d(a[2], b[2])) >= 4 * (a[1] + b[1])
+        trie = Trie()
+        for k, size, tokens in sets[:-1]:
+            trie.add(tokens, size, k)
+        assert set(trie.linked(sets[-1][2], sets[-1][1], lambda: False)) == {s[0] for s in sets[:-1] if links(s, sets[-1])}
+        for found, pairs in ((self_links(sets), [(a, b) for a in sets for b in sets if a[0] < b[0]]), (cross_links(sets[:10], sets[5:]), [(a, b) for a in sets[:10] for b in sets[5:] if a[0] != b[0]])):
+            want, got = Forest(), Forest()
+            for a, b in pairs:
+                if links(a, b):
+                    want.join(a[0], b[0])
+            for a, b in found:
+                got.join(a, b)
+            assert [want.root(k) for k in range(25)] == [got.root(k) for k in range(25)]
+
+
+def test_hashes_follow_words():
+    texts = ["a b c d e f", "A  b\tC\nd e F", "a b c d", "a b c d e", "", "é b c d e f", "ab c d e f g"]
+    sets = shingle_sets([t.encode() for t in texts])
+    assert np.array_equal(sets[0], sets[1]) and len(sets[0]) == 2 and len(sets[2]) == len(sets[3]) == 1 and len(sets[4]) == 0
+    assert len(np.unique(np.concatenate(sets))) == 6
+    long = "w " * 2_000_000 + "end of the text here"
+    assert len(shingle_sets([long.encode(), b"x"])[0]) == 6
