@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsledger.llm.common import cut, scratch, small
+from opsledger.llm.common import cut, fresh, scratch, small
 from opsledger.llm.decontaminate import decontaminate
 from opsledger.llm.kneser_ney import classify
 from opsledger.llm.mixing import mix
@@ -22,20 +22,21 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the ids of a column `gone`; broadcast where they are few."""
-    return docs.join(small(cut(gone.distinct()), 24), docs["doc_id"] == F.col("gone"), "left_anti")
+    """docs without the ids of the one column of `gone`; broadcast where they are few."""
+    name, = fresh(docs, "gone")
+    return docs.join(small(cut(gone.toDF(name).distinct()), 24), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the classifier rejects: perplexity above its language's threshold, or no words at all."""
     judged = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, judged.where("not accepted").select(F.col("doc_id").alias("gone")))
+    return _without(docs, judged.where("not accepted").select("doc_id"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each component; rows that share that id stay all."""
     joined = ngram_components(docs)
-    return _without(docs, joined.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")))
+    return _without(docs, joined.where("doc_id <> component_id").select("doc_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +45,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or drop documents as the mix takes them; copies are rows alike, with the columns of documents."""
-    copies = mix(docs).select(F.col("doc_id").alias("__id"), "copies").where("copies <> 1").groupBy("__id").agg(F.max("copies").alias("copies"))
-    taken = docs.join(small(cut(copies), 32), docs["doc_id"] == F.col("__id"), "left").withColumn("__n", F.coalesce("copies", F.lit(1)).cast("int"))
-    repeated = taken.where("__n > 0").withColumn("__k", F.explode(F.array_repeat(F.lit(1), F.col("__n"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    """Repeat or drop documents as the mix takes them; copies are rows alike, with the columns of documents.
+
+    Rows that share an id are taken alike, as the most taken of them; rows of a null id once.
+    """
+    key, n, k = fresh(docs, "key", "n", "k")
+    copies = mix(docs).where("copies <> 1").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(n))
+    taken = docs.join(small(cut(copies), 32), F.col("doc_id") == F.col(key), "left").withColumn(n, F.coalesce(n, F.lit(1)).cast("int"))
+    return taken.where(F.col(n) > 0).withColumn(k, F.explode(F.array_repeat(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
