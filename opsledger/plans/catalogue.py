@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from opsledger.functions import numbers, rules, text, times
 from opsledger.operators import aggregates, keyvalue, relational
 from opsledger.plans import reports
+from opsledger.sources import other, settings
 
 _queries: dict[str, Callable] = {}
 _sql: dict[str, str] = {}
@@ -209,6 +210,28 @@ def store_typed_read(t):
     return keyvalue.read_typed(_writes(t), "store1", {"click": ("bigint", 24), "no such key": ("bigint", 51515)}).select("click", F.col("no such key").alias("port"))
 
 
+@query("""WITH r AS (SELECT 'store' || user_id AS store, event_type AS key, CAST(CAST(trunc(value) AS BIGINT) AS VARCHAR) AS value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE user_id < 20)
+SELECT CAST(1700000000000 AS BIGINT) AS timestamp, '1.0' AS app_version, store, key, 'bigint' AS type, value FROM r WHERE k = 1 AND key <> 'error'""")
+def settings_round_trip(t):
+    rows = keyvalue.current(_writes(t)).where(F.col("store").isin([f"store{i}" for i in range(20)]))
+    return settings.parse(settings.to_json(rows, 1_700_000_000_000, "1.0"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN CAST(event_id AS VARCHAR) ELSE 'x' END AS first_id, event_id % 4 IN (1, 2) AS parsed FROM events""")
+def snapshot_lists(t):
+    i = F.col("event_id")
+    text_ = F.when(i % 4 == 1, F.concat(F.lit('[{"id":"'), i.cast("string"), F.lit('"}]'))).when(i % 4 == 2, '[{"id":"x"}]').when(i % 4 == 3, 'warning\n[{"id":"x"}]')
+    rows = other.snapshots(t.events.select("event_id", text_.alias("output")))
+    first = F.when(i % 4 == 3, "x").otherwise(F.try_variant_get("snapshots", "$[0].id", "string"))
+    return rows.select("event_id", first.alias("first_id"), F.col("snapshots").isNotNull().alias("parsed"))
+
+
+@query("SELECT p_partkey, p_size % 3 = 1 AND p_size * 7 >= 56 AS valid FROM part")
+def executable_headers(t):
+    head = F.concat(F.lit("7F454C460201"), F.repeat(F.lit("00"), 10), F.when(F.col("p_size") % 3 == 1, "0300B700").otherwise("0200B700"), F.repeat(F.lit("00"), 44))
+    return t.part.select("p_partkey", rules.elf_ok(F.unhex(head), F.col("p_size") * 7).alias("valid"))
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE p_partkey = 17 ORDER BY p_partkey LIMIT 1")
 def first_by_id(t):
     return relational.first_by_id(t.part, "p_partkey", 17, ["p_partkey"]).select("p_partkey", "p_name")
