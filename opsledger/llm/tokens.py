@@ -17,7 +17,7 @@ END_ID = 1
 #: Bytes of a row group and of a page before compression, and documents of a shard.
 GROUP_BYTES, PAGE_BYTES, SHARD_DOCS = 32 << 20, 256 << 10, 8192
 #: Pieces whose ids a worker remembers, and characters that are encoded at once.
-REMEMBERED, AT_ONCE = 800_000, 1 << 20
+REMEMBERED, AT_ONCE = 400_000, 4 << 20
 
 
 #: Marks that may close a run, and words of small Latin letters.
@@ -29,12 +29,16 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}i", *ids)
 
 
-class Encoder:
-    """Ids of whole texts by a tokenizer file, each distinct run of other than blanks and line feeds encoded once.
+END = packed([END_ID])
+
+
+class Encoder(dict):
+    """Ids of whole texts by a tokenizer file, as bytes by run: a run of other than blanks and line feeds, encoded once.
 
     White space separates the pieces that the tokenizer's pattern makes, so a text's ids are those of its runs, put
-    together; this is so for tokenizers that drop white space, and probed when one is loaded. Texts that may hold a
-    special token (with "<|") are encoded whole.
+    together. This and two shorter ways (closing marks apart, plain words by the model alone) hold for tokenizers that
+    drop white space; each is probed when one is loaded, and not taken where it fails. Texts that may hold a special
+    token (with "<|") are encoded whole. Of two generations of runs, the older goes when the younger is full.
     """
 
     def __init__(self, path: str):
@@ -43,63 +47,46 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        super().__init__()
+        self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model
         probe = "The end.\n\n it's 12 naïve—Ünïcode,  words"
         self.by_runs = [i for x in probe.replace("\n", " ").split(" ") if x for i in self.whole(x)] == self.whole(probe)
         ascii_probe = "".join(map(chr, range(33, 127)))
+        self.caseless = self.whole(ascii_probe) == self.whole(ascii_probe.lower())
         self.by_tail = self.whole("word7.,") == self.whole("word7") + self.whole(".,")
         # Words of small Latin letters are one piece of the pattern, so the model alone can give their ids.
         bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.letters = {i: bytes_of(chr(i))[0][0] for i in range(0xDF, 0x100) if i != 0xF7}
         words = ["word", "n\xe4here", "\xe9t\xe9", "".join(map(chr, self.letters))]
         self.plain = all(self.whole(x) == self.model_ids(x) for x in words)
-        self.caseless = self.whole(ascii_probe) == self.whole(ascii_probe.lower())
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def model_ids(self, word: str) -> list[int]:
-        return [x.id for x in self.tokenizer.model.tokenize(word.translate(self.letters))]
-
-    def runs(self, text: str) -> list[str]:
-        if self.caseless and text.isascii():
-            text = text.lower()
-        return text.replace("\n", " ").split(" ")
-
-    def learn(self, split: list[list[str]]) -> None:
-        """Ids, as bytes, of every run that is not known yet; a run's closing marks are encoded apart from its rest."""
-        new = set().union(*split) - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set().union(*split)
-        known, cut = self.known, []
-        fresh = set()
-        for x in new:
-            core = x.rstrip(MARKS) if self.by_tail else x
-            if core and core is not x and len(core) < len(x) and core[-1].isalnum() and core[-1].isascii():
-                cut.append((x, core, x[len(core):]))
-                fresh.update(cut[-1][1:])
+        return [x.id for x in self.model.tokenize(word if word.isascii() else word.translate(self.letters))]
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self.old.get(run)
+        if ids is None:
+            core = run.rstrip(MARKS) if self.by_tail else run
+            if core and len(core) < len(run) and core[-1].isalnum() and core[-1].isascii():
+                ids = self[core] + self[run[len(core):]]
             else:
-                fresh.add(x)
-        fresh -= known.keys()
-        if self.plain:
-            words = [x for x in fresh if LATIN.fullmatch(x)]
-            tokenize = self.tokenizer.model.tokenize
-            for x in words:
-                known[x] = packed([t.id for t in tokenize(x if x.isascii() else x.translate(self.letters))])
-            fresh.difference_update(words)
-        rest = list(fresh)
-        for i in range(0, len(rest), 4096):
-            some = rest[i : i + 4096]
-            known.update((x, packed(e.ids)) for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
-        known.update((x, known[core] + known[tail]) for x, core, tail in cut)
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids and END_ID, as little-endian int32."""
-        split = [self.runs(x) if self.by_runs and "<|" not in x else None for x in texts]
-        self.learn([x for x in split if x])
-        end = packed([END_ID])
-        return [b"".join(map(self.known.__getitem__, runs)) + end if runs else packed(self.whole(text)) + end for text, runs in zip(texts, split)]
+                ids = packed(self.model_ids(run) if self.plain and LATIN.fullmatch(run) else self.whole(run))
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[run] = ids
+        return ids
+
+    def ids(self, text: str) -> bytes:
+        """A text's ids and END_ID, as little-endian int32."""
+        if not self.by_runs or "<|" in text:
+            return packed([*self.whole(text), END_ID])
+        body = text.lower() if self.caseless and text.isascii() else text
+        return b"".join(map(self.__getitem__, body.replace("\n", " ").split(" "))) + END
 
 
 _encoders: dict[str, Encoder] = {}
@@ -109,7 +96,9 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+        if path not in _encoders:
+            _encoders[path] = Encoder(path)
+        encoder = _encoders[path]
         pos = at = 0
         for batch in batches:
             ids, texts, shards = batch.column(0), batch.column(1), batch.column(2)
@@ -120,7 +109,7 @@ def _encode(path: str):
                     some.append(texts[j].as_py() or "")
                     chars += len(some[-1])
                     j += 1
-                found = encoder.ids(some)
+                found = [encoder.ids(x) for x in some]
                 n = np.array([len(x) // 4 for x in found], dtype=np.int64)
                 starts = at + np.concatenate([[0], np.cumsum(n)[:-1]])
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
