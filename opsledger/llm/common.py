@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -54,6 +55,15 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of jobs that nothing refers to any more, before a large job needs the disk.
+
+    Spark's cleaner does so after a collection of the driver's garbage, as spark.cleaner.periodicGC.interval starts one.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def lower_az(text: Column) -> Column:
     """Lower-case A-Z only. Where every character is one byte, lower() does just that and is faster."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -64,6 +74,12 @@ def fits_broadcast(df: DataFrame, row_bytes: int, limit_bytes: int = 64 << 20) -
     return df.limit(limit_bytes // row_bytes + 1).count() <= limit_bytes // row_bytes
 
 
+def pieces(spark: SparkSession, total: int, most: int, least: int) -> int:
+    """Pieces of a total: so many that none exceeds `most`, and as many as shuffles have, but none below `least`."""
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(total // most + 1, min(wanted, total // least + 1))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df doesn't have, one for each of names."""
     taken, out = {c.lower() for c in df.columns}, []

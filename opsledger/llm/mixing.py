@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsledger.llm.common import WORD, cut, small
+from opsledger.llm.common import WORD, cut, small_by_bytes
 
 #: No document is taken more often than this.
 MOST = 2.0
@@ -19,6 +19,11 @@ BLOCK = 1000
 CLOSE, STEPS = 1e-7, 60
 
 
+def _row_bytes() -> F.Column:
+    """What a row of a table by source (s) takes, in bytes."""
+    return F.coalesce(F.octet_length("s"), F.lit(0)) + 100
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float = MOST) -> DataFrame:
     """(source, source_size, target): weights repeat over the sources by code point, null last.
 
@@ -65,7 +70,7 @@ def tilts(histogram: DataFrame, targets: DataFrame, most: float = MOST) -> DataF
         exact = "decimal(38,6)"
         z = F.col("size") / F.col("scale")
         rate = F.least(F.lit(most), F.exp(F.col("tilt") * z))
-        part = histogram.join(small(now, 400), F.col("source").eqNullSafe(F.col("s"))).select(
+        part = histogram.join(small_by_bytes(now, _row_bytes()), F.col("source").eqNullSafe(F.col("s"))).select(
             "source", (F.col("n") * F.col("size") * rate).cast(exact).alias("g"),
             F.when(F.col("tilt") * z < math.log(most), F.col("n") * F.col("size") * z * rate).otherwise(0.0).cast(exact).alias("h"))
         sums = part.groupBy("source").agg(F.sum("g").cast("double").alias("g"), F.sum("h").cast("double").alias("h")).withColumnRenamed("source", "s")
@@ -113,7 +118,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     plan = cut(plan.join(counted.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumnRenamed("source", "s"))
     tilted = F.least(F.lit(most), F.exp(F.col("tilt") * F.col("size") / F.col("scale")))
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("target") <= 0, 0.0).when(F.col("tilt").isNull(), F.lit(most)).otherwise(tilted)
-    rated = cut(sized.join(small(plan, 400), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumns({
+    rated = cut(sized.join(small_by_bytes(plan, _row_bytes()), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumns({
         "rate": F.round(rate, 9), "row": F.monotonically_increasing_id(),
         "block": F.pmod(F.xxhash64("id", "size"), F.ceil(F.col("docs") / BLOCK)),
     }))
