@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opsledger.llm.common import fresh
 from opsledger.llm.spans import covered_intervals, inside
 
 WIDTH = 3
@@ -26,12 +27,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         i.alias("pos"), F.xxhash64(window(i)).alias("h1"), F.xxhash64(F.lit(1), window(i)).alias("h2"),
         F.forall(window(i), lambda x: F.trim(x) == "").alias("blank")))
     runs = ids.select("id", F.explode(hashes).alias("r")).select("id", "r.*").where("not blank").drop("blank")
-    cover = covered_intervals(runs, width).withColumnsRenamed({"id": "__id", "intervals": "__gone"})
-    joined = docs.join(cover, F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    kept = F.when(F.col("__gone").isNull(), lines).otherwise(F.filter(lines, lambda x, i: ~inside(i, F.col("__gone"))))
-    n = F.coalesce(F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)), F.lit(0)).cast("long")
-    out = joined.withColumn("__kept", kept).withColumns({
-        "n_lines": n, "n_removed": n - F.coalesce(F.when(F.col("__kept").isNull(), 0).otherwise(F.size("__kept")), F.lit(0)),
-        text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n")),
+    id_, gone, kept = fresh(docs, "id", "gone", "kept")
+    cover = covered_intervals(runs, width).withColumnsRenamed({"id": id_, "intervals": gone})
+    joined = docs.join(cover, F.col(id_col).eqNullSafe(F.col(id_)), "left")
+    left = F.when(F.col(gone).isNull(), lines).otherwise(F.filter(lines, lambda x, i: ~inside(i, F.col(gone))))
+    count = lambda x: F.when(F.col(text_col).isNull(), 0).otherwise(F.size(x)).cast("long")
+    out = joined.withColumn(kept, left).withColumns({
+        "n_lines": count(lines), "n_removed": count(lines) - count(F.col(kept)),
+        text_col: F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),
     })
-    return out.drop("__id", "__gone", "__kept")
+    return out.drop(id_, gone, kept)
