@@ -68,26 +68,31 @@ def _runs(width: int, fewest: int):
     return run
 
 
+def without(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int]:
+    """A text without the units in the ranges, and how many these are; white space stays between what they part."""
+    out, count, at, gap, ranges = [], 0, 0, "", sorted(ranges)
+    for i, (a, b, _) in enumerate(units(text)):
+        while at < len(ranges) and ranges[at][1] <= i:
+            at += 1
+        unit = text[a:b]
+        if at < len(ranges) and ranges[at][0] <= i:
+            count += 1
+            gap = unit[len(unit.rstrip()):] or gap
+        else:
+            if count and out and not unit[:1].isspace() and not out[-1][-1:].isspace():
+                out.append(gap or " ")
+            out.append(unit)
+            gap = ""
+    return "".join(out), count
+
+
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, gone = [], []
         for text, intervals in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if text and intervals:
-                own, out, count = units(text), [], 0
-                ranges = sorted((r["start"], r["end"]) for r in intervals)
-                at = 0
-                for i, (a, b, _) in enumerate(own):
-                    while at < len(ranges) and ranges[at][1] <= i:
-                        at += 1
-                    if at < len(ranges) and ranges[at][0] <= i:
-                        count += 1
-                    else:
-                        out.append(text[a:b])
-                texts.append("".join(out))
-                gone.append(count)
-            else:
-                texts.append(text)
-                gone.append(0)
+            left, count = without(text, [(r["start"], r["end"]) for r in intervals]) if text and intervals else (text, 0)
+            texts.append(left)
+            gone.append(count)
         yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], names=["doc_id", "text", "n_removed"])
 
 
