@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsledger.llm.blocks import SCHEMA, batch_of, blocks_of, packed, unpacked
-from opsledger.llm.common import connected_components, cut, small
+from opsledger.llm.common import connected_components, cut, pieces, small
 from opsledger.llm.shingle_trie import cross_links, self_links
 from opsledger.llm.wordhash import shingle_sets
 
@@ -20,7 +20,7 @@ BLOCK_BYTES, RANGE_BYTES = 16 << 20, 24 << 20
 #: Documents of a block that make a shingle frequent; it then needs no counting: it comes last in the order.
 FREQUENT, FREQUENT_CLASS = 64, 255
 #: Tokens that one trie task stores, and what a document weighs besides its tokens.
-TASK_TOKENS, DOC_WEIGHT = 1_000_000, 64
+TASK_TOKENS, DOC_WEIGHT = 32_000, 64
 POSTINGS, META = 0, 1
 SETS = "doc_id long, n long, k1 long, k2 long, prefix array<long>, tokens binary"
 
@@ -140,7 +140,7 @@ def ordered_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE_BYTES + 1)
+    ranges = pieces(spark, total, RANGE_BYTES, 1 << 20)
     sent = texts.mapInArrow(_to_ranges(ranges), SCHEMA)
     shared = sent.groupBy("part").applyInArrow(_share, SCHEMA)
     return cut(shared.groupBy("block").applyInArrow(_collect, SETS))
@@ -197,7 +197,7 @@ def similar_links(sets: DataFrame, task_tokens: int = TASK_TOKENS) -> DataFrame:
     weigh = (F.octet_length("tokens") / 8 + DOC_WEIGHT).cast("long")
     weights = cut(placed.groupBy("comp").agg(F.sum(weigh).alias("weight")))
     large = cut(weights.where(F.col("weight") > task_tokens))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (weights.agg(F.sum("weight")).first()[0] or 0) // task_tokens + 1)
+    tasks = pieces(spark, weights.agg(F.sum("weight")).first()[0] or 0, task_tokens, task_tokens // 8 + 1)
     few = placed.join(small(large.select("comp"), 16), "comp", "left_anti").withColumn("task", F.pmod(F.xxhash64("comp"), F.lit(tasks)))
     links = few.groupBy("task").applyInArrow(_within, "src long, dst long")
     if not large.limit(1).count():
@@ -231,8 +231,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = ordered_sets(docs, id_col, text_col)
     named = sets.where("n > 0 and doc_id is not null").select("doc_id", "n", "k1", "k2")
     copies = cut(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("far")).where("rep <> far").drop("far"))
-    equal = cut(named.join(small(copies, 40), ["k1", "k2"]).where("doc_id <> rep").select("doc_id", "rep"))
-    links = similar_links(sets.join(small(equal.select("doc_id").distinct(), 16), "doc_id", "left_anti"), task_tokens)
+    equal = cut(named.join(small(copies, 40), ["k1", "k2"]).where("doc_id <> rep").select("doc_id", "k1", "k2", "rep"))
+    links = similar_links(sets.join(small(equal.drop("rep").distinct(), 40), ["doc_id", "k1", "k2"], "left_anti"), task_tokens)
     parts = connected_components(links.unionByName(equal.select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))), "src", "dst")
     joined = sets.select("doc_id", "n").join(parts, F.col("doc_id") == F.col("node"), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
