@@ -115,15 +115,9 @@ def _whole_words(body: str, a: int, b: int) -> bool:
     return (a == 0 or body[a - 1] == " ") and (b == len(body) or body[b] == " ")
 
 
-_searchers: dict = {}
-
-
-def _search(items: list[tuple[int, str]], rate: float, name: str):
+def _search(items: list[tuple[int, str]], rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _searchers:
-            _searchers.clear()
-            _searchers[name] = Searcher(items, rate)
-        searcher = _searchers[name]
+        searcher = Searcher(items, rate)
         for batch in batches:
             rows = [(k.as_py(), *m) for k, text in zip(batch.column(0), batch.column(1)) for m in searcher.matches(text.as_py())]
             cols = list(zip(*rows)) if rows else [[]] * 5
@@ -151,7 +145,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col
     for b in range(blocks):
         own = [(r.k, plain(r.x)) for r in items.where(F.pmod(F.xxhash64("k", "x"), F.lit(blocks)) == b).collect()]
         own.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        part = narrow.mapInArrow(_search(own, rate, f"{rate}-{hash(tuple(own))}"), "doc_id long, item_id long, distance long, start long, end long")
+        part = narrow.mapInArrow(_search(own, rate), "doc_id long, item_id long, distance long, start long, end long")
         found = part if found is None else found.unionByName(part)
     return found
 

@@ -89,16 +89,11 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, body.replace("\n", " ").split(" "))) + END
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        if path not in _encoders:
-            _encoders[path] = Encoder(path)
-        encoder = _encoders[path]
+        encoder = Encoder(path)  # of this task alone: it goes with it
         pos = at = 0
         for batch in batches:
             ids, texts, shards = batch.column(0), batch.column(1), batch.column(2)
@@ -116,6 +111,8 @@ def _encode(path: str):
                 tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
                 yield pa.record_batch([ids.slice(i, j - i), shards.slice(i, j - i), pa.array(np.arange(pos, pos + j - i)), pa.array(starts), pa.array(n), tokens], names=["doc_id", "shard", "pos", "shard_start", "n_tokens", "ids"])
                 at, pos, i = at + int(n.sum()), pos + j - i, j
+                del some, found, tokens
+                pa.default_memory_pool().release_unused()
 
     return run
 
