@@ -12,25 +12,46 @@ NAMES = ["part", "block", "kind", "data"]
 
 
 def packed(*columns: np.ndarray) -> bytes:
-    """Columns as zstd of their byte planes, ascending uint64 ones by their differences."""
+    """Columns of unsigned or signed integers as byte planes, each compressed; ascending uint64 ones by differences.
+
+    The lowest bytes of small values, whose higher bytes are 0, stand apart from the others, as they spread otherwise.
+    A plane of zeros takes no bytes but its length.
+    """
     codec, out = pa.Codec("zstd", compression_level=1), [np.int64(len(columns[0])).tobytes()]
+
+    def add(plane: np.ndarray) -> None:
+        data = codec.compress(plane.tobytes(), asbytes=True) if plane.any() else b""
+        out.extend((np.int32(len(data)).tobytes(), data))
+
     for c in columns:
         if c.dtype == np.uint64 and len(c):
             c = np.concatenate([c[:1], c[1:] - c[:-1]])
-        raw = np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes()
-        data = codec.compress(raw, asbytes=True) if raw else b""
-        out += [np.int64(len(data)).tobytes(), data]
+        planes = np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T
+        large = planes[1:].any(axis=0)
+        for plane in (*planes[:0:-1], planes[0][~large], planes[0][large]):
+            add(plane)
     return b"".join(out)
 
 
 def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+    """The columns that packed() was given, by their types."""
     codec, n, at, out = pa.Codec("zstd"), int(np.frombuffer(data, np.int64, 1)[0]), 8, []
+
+    def plane(size: int) -> np.ndarray:
+        nonlocal at
+        length = int(np.frombuffer(data, np.int32, 1, at)[0])
+        body, at = data[at + 4 : at + 4 + length], at + 4 + length
+        return np.frombuffer(codec.decompress(body, size, asbytes=True), np.uint8) if length else np.zeros(size, np.uint8)
+
     for kind in map(np.dtype, kinds):
-        size = int(np.frombuffer(data, np.int64, 1, at)[0])
-        raw = codec.decompress(data[at + 8 : at + 8 + size], n * kind.itemsize, asbytes=True) if n else b""
-        c = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T).view(kind).reshape(n)
+        planes = np.zeros((n, kind.itemsize), dtype=np.uint8)
+        for i in range(kind.itemsize - 1, 0, -1):
+            planes[:, i] = plane(n)
+        large = planes[:, 1:].any(axis=1)
+        planes[~large, 0] = plane(n - int(large.sum()))
+        planes[large, 0] = plane(int(large.sum()))
+        c = planes.view(kind).reshape(n)
         out.append(np.cumsum(c, dtype=np.uint64) if kind == np.uint64 else c)
-        at += 8 + size
     return out
 
 
@@ -55,6 +76,7 @@ def blocks_of(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[t
             body = data.to_pybytes() if data is not None else b""
             if texts and size + len(body) > block_bytes:
                 yield block, columns, texts
+                pa.default_memory_pool().release_unused()
                 block, columns, texts, size = block + 1, [[] for _ in rest], [], 0
             for to, c in zip(columns, rest):
                 to.append(c[i])
