@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsledger.llm.spans import covered_intervals
+from opsledger.llm.spans import PLACE, covered_intervals
 
-#: Sentences in a span, the longest sentence in words (longer ones are cut), and the fewest words of a span.
+#: Sentences in a span, the longest sentence in words (longer ones are cut), and the fewest words of a span
+#: (of short sentences it takes more).
 WIDTH, MOST_WORDS, FEWEST_WORDS = 3, 24, 8
 END = re.compile(r"[.!?。！？]+(?=\s)|\n")
 LONG = re.compile(r"\S+\s*")
@@ -58,12 +59,16 @@ def _runs(width: int, fewest: int):
                 plain = [" ".join(body[a:b].split()) for a, b, _ in own]
                 doc = k.as_py()
                 for i in range(len(own) - width + 1):
-                    if sum(x[2] for x in own[i : i + width]) >= fewest:
+                    j, n = i + width, sum(x[2] for x in own[i : i + width])
+                    while n < fewest and j < len(own):  # short sentences: as many as it takes
+                        n += own[j][2]
+                        j += 1
+                    if n >= fewest:
                         ids.append(doc)
-                        pos.append(i)
-                        digests.append(blake2b("\x1f".join(plain[i : i + width]).encode(), digest_size=16).digest())
+                        pos.append(i * PLACE + j - i)
+                        digests.append(blake2b("\x1f".join(plain[i:j]).encode(), digest_size=16).digest())
             both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["id", "pos", "h1", "h2"])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(pos, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["id", "pos", "h1", "h2"])
 
     return run
 
@@ -99,15 +104,15 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sentence_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, fewest_words: int = FEWEST_WORDS) -> DataFrame:
     """(doc_id, text, n_removed): texts without the sentences that a non-first repeated span covers.
 
-    Every run of `width` consecutive sentences with fewest_words words or more is hashed (128 bits, white space as one
-    blank); equal runs of the whole corpus meet in a join, and all but the one with the smallest (id, place) cover
+    Every run of `width` consecutive sentences, and of as many more as it takes to hold fewest_words words, is hashed
+    (128 bits, white space as one blank); equal runs of the whole corpus meet in a join, and all but the one with the smallest (id, place) cover
     their sentences, which are removed. A null text stays null, an empty one empty; documents with fewer sentences
     stay as they are. Rows sharing an id count as one document and, if their texts are equal, are cleaned alike.
     Other columns are not carried. Ids are integers; a null id is an id like others.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    runs = texts.where("text is not null").mapInArrow(_runs(width, fewest_words), "id long, pos int, h1 long, h2 long")
-    cover = covered_intervals(runs, width).withColumnRenamed("id", "__id")
+    runs = texts.where("text is not null").mapInArrow(_runs(width, fewest_words), "id long, pos long, h1 long, h2 long")
+    cover = covered_intervals(runs, None).withColumnRenamed("id", "__id")
     joined = texts.join(cover, F.col("id").eqNullSafe(F.col("__id")), "left")
     touched = joined.where("intervals is not null").select("id", "text", "intervals").mapInArrow(_clean, "doc_id long, text string, n_removed long")
     return joined.where("intervals is null").select(F.col("id").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_removed")).unionByName(touched)

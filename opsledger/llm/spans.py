@@ -6,19 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def covered_intervals(runs: DataFrame, width: int) -> DataFrame:
+#: A place of runs of their own widths: first unit * PLACE + width, which is below PLACE.
+PLACE = 1 << 10
+
+
+def covered_intervals(runs: DataFrame, width: int | None) -> DataFrame:
     """(id, intervals): the unit ranges [start, end) of each document that a non-first repeated run covers.
 
-    runs: id, pos (the run's first unit) and h1, h2 (two hashes of its text), one row per run of `width` units. Of
-    equal runs the one with the smallest (id, pos) is the first and covers nothing; rows with equal id and pos are one
-    run. Groups are aggregated before their shuffle; Spark may split a hot run's rows when they meet the group.
+    runs: id, pos (the run's first unit) and h1, h2 (two hashes of its text), one row per run of `width` units; without
+    a width pos is a place as of PLACE, and equal runs are as wide. Of equal runs the one with the smallest (id, pos) is
+    the first and covers nothing; rows with equal id and pos are one run. Groups are aggregated before their shuffle;
+    Spark may split a hot run's rows when they meet the group.
     """
     first = runs.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"), F.max(F.struct("id", "pos")).alias("last")).where("first <> last").drop("last")
     later = runs.join(first, ["h1", "h2"]).where(F.struct("id", "pos") != F.col("first")).select("id", "pos").distinct()
     own = Window.partitionBy("id").orderBy("pos")
-    gap = F.coalesce((F.col("pos") > F.lag("pos").over(own) + width).cast("int"), F.lit(1))
-    islands = later.withColumn("new", gap).withColumn("island", F.sum("new").over(own))
-    merged = islands.groupBy("id", "island").agg(F.min("pos").alias("start"), (F.max("pos") + width).alias("end"))
+    if width is None:
+        later = later.select("id", "pos", F.shiftright("pos", PLACE.bit_length() - 1).alias("start"))
+        later = later.withColumn("end", F.col("start") + F.col("pos").bitwiseAND(F.lit(PLACE - 1)))
+    else:
+        later = later.select("id", "pos", F.col("pos").alias("start"), (F.col("pos") + width).alias("end"))
+    reached = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    islands = later.withColumn("new", F.coalesce((F.col("start") > reached).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(own))
+    merged = islands.groupBy("id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return merged.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("intervals"))
 
 

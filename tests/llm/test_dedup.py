@@ -94,3 +94,11 @@ def test_sentences(spark):
     assert texts[2] == "Something else begins. Other things too.\nThen more text."
     assert sum(PASSAGE.split()[7] in (t or "") for _, t, _ in got) == 1  # the first place alone keeps it: null ids come first
     assert texts[6] == "" and got[(6, "", 6)] == 2
+
+
+def test_passages_of_short_sentences(spark):
+    short = " ".join(f"{'abcdefghij'[i // 10]}{i}!!" for i in range(60))
+    rows = [(1, "Some beginning of it all. " + short), (2, "Quite another start here. " + short + " Its own end."), (3, "No. Yes. No.")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in sentence_dedup(frame(spark, [(k, t, None, None) for k, t in rows])).collect()}
+    assert got[1] == (rows[0][1], 0) and got[3] == (rows[2][1], 0)
+    assert got[2] == ("Quite another start here. Its own end.", 60)
