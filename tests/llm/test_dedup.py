@@ -1,6 +1,7 @@
 """Exact, line and sentence deduplication against plain Python."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 from opsledger.llm.exact_dedup import exact_dedup
@@ -102,3 +103,39 @@ def test_passages_of_short_sentences(spark):
     got = {r.doc_id: (r.text, r.n_removed) for r in sentence_dedup(frame(spark, [(k, t, None, None) for k, t in rows])).collect()}
     assert got[1] == (rows[0][1], 0) and got[3] == (rows[2][1], 0)
     assert got[2] == ("Quite another start here. Its own end.", 60)
+
+
+def test_every_repeat_of_over_fifty_words_holds_a_common_span():
+    from opsledger.llm import sentence_dedup as module
+
+    rng = random.Random(4)
+    pool = [f"w{i}" for i in range(500)]
+
+    def prose(n, longest):
+        out = []
+        while len(out) < n:
+            out += rng.choices(pool, k=rng.randint(1, longest) - 1) + [rng.choice(pool) + "."]
+        return out[len(out) - n :]
+
+    for _ in range(400):
+        longest = rng.choice((3, 12, 30, 200))
+        passage, found = prose(51, longest), []
+        if rng.random() < 0.5:
+            passage[-1] = "end"
+        for _ in range(2):
+            words, ends, places = module.cuts(" ".join(prose(rng.randrange(70), longest)[:-1] + passage + prose(rng.randrange(70), longest)))
+            found.append({" ".join(words[a:b]) for a, b in module.spans(ends, places)})
+        assert any(x in " ".join(passage) for x in found[0] & found[1])
+
+
+def test_passages_that_start_inside_a_sentence(spark):
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(80))
+    other = lambda n: " ".join(f"q{rng.randrange(10**6)}" for _ in range(n))
+    rows = [(1, f"{other(9)} {passage} {other(20)}."), (2, f"{other(31)} {passage} {other(5)}. {other(8)}."), (3, f"{other(3)}. {passage}")]
+    got = {r.doc_id: r for r in sentence_dedup(frame(spark, [(k, t, None, None) for k, t in rows])).collect()}
+    assert got[1].text == rows[0][1] and got[1].n_removed == 0
+    for k in (2, 3):
+        left = [w for w in got[k].text.split() if w[0] == "p"]
+        assert got[k].n_removed > 0 and len(left) <= 32
+        assert [w for w in got[k].text.split() if w[0] == "q"] == [w for w in rows[k - 1][1].split() if w[0] == "q"]
