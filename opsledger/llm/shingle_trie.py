@@ -117,18 +117,20 @@ def cross_links(stored: list[tuple[int, int, np.ndarray]], probes: list[tuple[in
     for key, size, tokens in stored:
         trie.add(tokens, size, key)
         forest.root(key)
-    parts = len({k for k, _, _ in stored})
+    held = {k for k, _, _ in stored}  # roots of parts with a stored set
+    parts = len(held)
     for key, size, tokens in sorted(probes, key=lambda x: (x[1], x[0])):
-        new = key not in forest.parent
-        forest.root(key)
-        state = {"parts": parts, "joined": not new}
+        state = {"parts": parts, "joined": forest.root(key) in held}  # whether the probe's part holds a stored set
 
         def done() -> bool:
             return state["joined"] and state["parts"] == 1
 
         for other in trie.linked(tokens, size, done):
+            a, b = forest.root(key), forest.root(other)
             if other != key and forest.join(key, other):
                 links.append((key, other))
+                held -= {a, b}
+                held.add(forest.root(key))
                 if state["joined"]:
                     state["parts"] -= 1
                 state["joined"] = True

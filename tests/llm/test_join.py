@@ -97,3 +97,12 @@ def test_hashes_follow_words():
     assert len(np.unique(np.concatenate(sets))) == 6
     long = "w " * 2_000_000 + "end of the text here"
     assert len(shingle_sets([long.encode(), b"x"])[0]) == 6
+
+
+def test_a_probe_whose_first_set_found_no_link_still_joins():
+    import numpy as np
+
+    from opsledger.llm.shingle_trie import cross_links
+
+    a, b = np.arange(10, dtype=np.uint64), np.arange(100, 120, dtype=np.uint64)
+    assert cross_links([(1, 20, b)], [(5, 10, a), (5, 20, b)]) == [(5, 1)]
