@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
@@ -55,6 +56,42 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free() -> None:
+    """Give memory that nothing uses any more back to the system: Arrow's, numpy's, Python's."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def freeing(f):
+    """f, which makes batches from batches, with free() at the task's end: workers wait for tasks with little memory."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            free()
+
+    return run
+
+
+def freeing_group(f):
+    """f, which makes a table from a group's table, with free() after it."""
+
+    def run(table):
+        try:
+            return f(table)
+        finally:
+            free()
+
+    return run
+
+
 def forget(spark: SparkSession) -> None:
     """Have Spark drop the shuffle files of jobs that nothing refers to any more, before a large job needs the disk.
 

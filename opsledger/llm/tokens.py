@@ -11,13 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from opsledger.llm.common import cut, fits_broadcast, scratch
+from opsledger.llm.common import cut, fits_broadcast, freeing, scratch
 
 END_ID = 1
-#: Bytes of a row group and of a page before compression, and documents of a shard.
-GROUP_BYTES, PAGE_BYTES, SHARD_DOCS = 32 << 20, 256 << 10, 8192
-#: Pieces whose ids a worker remembers, and characters that are encoded at once.
-REMEMBERED, AT_ONCE = 400_000, 4 << 20
+#: Bytes of a row group and of a page before compression, and documents and text bytes of a shard on average, at most.
+GROUP_BYTES, PAGE_BYTES, SHARD_DOCS, SHARD_BYTES = 32 << 20, 256 << 10, 8192, 64 << 20
+#: Bytes of the runs whose ids a worker remembers, in each of two generations, what a run takes besides its characters
+#: and ids, and characters that are encoded at once.
+REMEMBERED_BYTES, RUN_BYTES, AT_ONCE = 16 << 20, 170, 2 << 20
+#: One text in so many, by a hash, is also encoded whole, and must give the same ids.
+PROOF = 256
 
 
 #: Marks that may close a run, and words of small Latin letters.
@@ -37,8 +40,10 @@ class Encoder(dict):
 
     White space separates the pieces that the tokenizer's pattern makes, so a text's ids are those of its runs, put
     together. This and two shorter ways (closing marks apart, plain words by the model alone) hold for tokenizers that
-    drop white space; each is probed when one is loaded, and not taken where it fails. Texts that may hold a special
-    token (with "<|") are encoded whole. Of two generations of runs, the older goes when the younger is full.
+    drop white space; each is probed when one is loaded, and not taken where it fails; and one text in PROOF, by its
+    hash, is encoded whole as well, which raises an error where it differs. Texts that may hold a special token (with
+    "<|") are encoded whole. Of two generations of runs, each of REMEMBERED_BYTES, the older goes when the younger is
+    full.
     """
 
     def __init__(self, path: str):
@@ -48,7 +53,7 @@ class Encoder(dict):
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
-        self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        self.tokenizer, self.old, self.size = Tokenizer.from_file(path), {}, 0
         self.model = self.tokenizer.model
         probe = "The end.\n\n it's 12 naïve—Ünïcode,  words"
         self.by_runs = [i for x in probe.replace("\n", " ").split(" ") if x for i in self.whole(x)] == self.whole(probe)
@@ -75,10 +80,13 @@ class Encoder(dict):
                 ids = self[core] + self[run[len(core):]]
             else:
                 ids = packed(self.model_ids(run) if self.plain and LATIN.fullmatch(run) else self.whole(run))
-        if len(self) >= REMEMBERED:
-            self.old = dict(self)
+        size = RUN_BYTES + len(run) + len(ids)
+        if size > REMEMBERED_BYTES >> 4:
+            return ids
+        if self.size + size > REMEMBERED_BYTES:
+            self.old, self.size = dict(self), 0
             self.clear()
-        self[run] = ids
+        self[run], self.size = ids, self.size + size
         return ids
 
     def ids(self, text: str) -> bytes:
@@ -86,7 +94,10 @@ class Encoder(dict):
         if not self.by_runs or "<|" in text:
             return packed([*self.whole(text), END_ID])
         body = text.lower() if self.caseless and text.isascii() else text
-        return b"".join(map(self.__getitem__, body.replace("\n", " ").split(" "))) + END
+        ids = b"".join(map(self.__getitem__, body.replace("\n", " ").split(" "))) + END
+        if zlib.crc32(text[:64].encode("utf-8", "surrogatepass"), len(text)) % PROOF == 0 and ids != packed([*self.whole(text), END_ID]):
+            raise ValueError("this tokenizer's ids of a text are not those of its runs")
+        return ids
 
 
 def _encode(path: str):
@@ -128,12 +139,16 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str
     and delta packed beyond (format version 2), the metadata columns delta packed, in row groups and pages of bounded
     bytes; Parquet's own page index is kept, so a read of a range of doc_id touches its pages alone and one of the
     metadata no token. The texts, not the larger ids, are ordered by ranges. A null text is an empty one; null ids come
-    first; rows with equal ids stay beside each other, ordered by text. Extra columns are not carried.
+    first; rows with equal ids stay beside each other, ordered by a hash of the text, and may lie in several shards, as
+    rows that repeat as a whole may too. Extra columns are not carried.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = max(1, -(-narrow.count() // shard_docs))
-    ordered = narrow.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").withColumn("shard", F.spark_partition_id())
-    encoded = ordered.mapInArrow(_encode(tokenizer_path), SCHEMA)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    count, size = docs.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    n = max(1, -(-count // shard_docs), -(-(size or 0) // SHARD_BYTES))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("row")]
+    ordered = narrow.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("shard"))
+    encoded = ordered.mapInArrow(freeing(_encode(tokenizer_path)), SCHEMA)
     (encoded.write.option("parquet.block.size", GROUP_BYTES).option("parquet.page.size", PAGE_BYTES).option("parquet.writer.version", "v2")
      .option("parquet.enable.dictionary", "false").option("parquet.enable.dictionary#ids.list.element", "true").option("parquet.dictionary.page.size", 1 << 20)
      .option("compression", "zstd").parquet(folder))
@@ -168,7 +183,7 @@ def token_digests(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
     tokens = spark.read.schema(SCHEMA).parquet(folder)
     bases = cut(shard_bases(tokens))
-    crcs = tokens.select("doc_id", "shard", "shard_start", "n_tokens", "ids").mapInArrow(_digest, "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long")
+    crcs = tokens.select("doc_id", "shard", "shard_start", "n_tokens", "ids").mapInArrow(freeing(_digest), "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long")
     placed = crcs.join(F.broadcast(bases) if fits_broadcast(bases, 40) else bases, "shard")
     return placed.select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
 

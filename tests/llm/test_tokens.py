@@ -10,6 +10,7 @@ import pytest
 
 from opsledger.llm.common import scratch
 from opsledger.llm.tokens import Encoder, encode_documents, read_tokens, token_digests
+from tests.llm.conftest import frame
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", " ", "\n\n", "Don't WON'T it's, x's", "a<|endoftext|>b <|startoftext|>", "İstanbul ΑΣΣ ß ﬁ é é", "\x1c\x85  tab\tx\r\n", "1234 5,6.7 !!! ?!x", "日本語 テキスト", "w" * 3000, "#$% . , a.,!? 'll", "́lead", "a|b | c", "ÀÉÎ àéî"]
@@ -31,15 +32,16 @@ def test_files(spark, docs, rows, none):
     tokenizer = Tokenizer.from_file(PATH)
     folder = scratch(spark, "t")
     encode_documents(docs, PATH, folder)
-    want, start = [], 0
-    for k, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    want = []
+    for k, text, *_ in rows:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
-        want.append((k, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
-        start += len(ids)
+        want.append((k is not None, k or 0, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
     got = sorted(map(tuple, token_digests(spark, folder).collect()), key=lambda r: r[1])
-    assert got == want
+    assert sorted((k is not None, k or 0, n, crc) for k, _, n, crc in got) == sorted(want)
+    assert [k for k, *_ in got] == sorted((k for k, *_ in rows), key=lambda k: (k is not None, k or 0))
+    assert [start for _, start, *_ in got] == [0, *np.cumsum([n for _, _, n, _ in got])[:-1]]
     back = read_tokens(spark, folder)
-    assert {(r.doc_id, r.start, len(r.ids)) for r in back.collect()} == {x[:3] for x in want}
+    assert {(r.doc_id, r.start, len(r.ids)) for r in back.collect()} == {x[:3] for x in got}
     plan = read_tokens(spark, folder).where("doc_id = 5").select("n_tokens")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(doc_id,5)" in plan and "ids" not in plan.split("ReadSchema")[-1].split("\n")[0]
     empty = scratch(spark, "e")
@@ -47,6 +49,40 @@ def test_files(spark, docs, rows, none):
     assert token_digests(spark, empty).count() == 0
 
 
+def test_a_repeated_id_and_repeated_rows_fill_several_shards(spark):
+    from opsledger.llm.tokens import write_tokens
+
+    rows = [(7, f"text number {i}", None, None) for i in range(200)] + [(8, "the same", None, None)] * 200 + [(None, "x", None, None)] * 100
+    folder = scratch(spark, "t")
+    write_tokens(frame(spark, rows), folder, PATH, shard_docs=50)
+    got = sorted(read_tokens(spark, folder).select("start", "doc_id", "n_tokens", "shard").collect())
+    assert [r.doc_id for r in got] == [None] * 100 + [7] * 200 + [8] * 200
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
+    assert min(len({r.shard for r in got if r.doc_id == k}) for k in (7, 8, None)) > 1
+
+
+def test_runs_that_differ_from_the_whole_are_told(monkeypatch):
+    from opsledger.llm import tokens
+
+    monkeypatch.setattr(tokens, "PROOF", 1)
+    encoder = Encoder(PATH)
+    assert encoder.ids("some words here") == encoder.ids("some words here")
+    encoder.whole = lambda text: [5]
+    with pytest.raises(ValueError, match="not those of its runs"):
+        encoder.ids("some words here")
+
+
+def test_what_a_worker_remembers_is_bounded(monkeypatch):
+    from opsledger.llm import tokens
+
+    monkeypatch.setattr(tokens, "REMEMBERED_BYTES", 20_000)
+    encoder, plain_one = Encoder(PATH), Encoder(PATH)
+    texts = [f"run{i} w{i % 7} {'x' * (i % 900)}" for i in range(3000)]
+    for text in texts:
+        assert encoder.ids(text) == tokens.packed([*plain_one.whole(text), 1])
+        assert sum(tokens.RUN_BYTES + len(k) + len(v) for k, v in encoder.items()) <= 20_000 and len(encoder.old) < 200
+
+
 def test_layout(spark, docs):
     folder = scratch(spark, "t")
     encode_documents(docs, PATH, folder)
