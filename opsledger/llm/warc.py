@@ -7,20 +7,22 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from typing import Any, BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsledger.llm.common import cut, remove, scratch, small
+from opsledger.llm.common import cut, freeing, remove, scratch, small
 from opsledger.llm.files import attempt_name, opened
 
 #: Payloads shorter than this are never revisits.
 LEAST_REVISIT = 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-CHUNK = 1 << 20
+#: Bytes inflated at once, read at once (small, as what follows a member's end is copied), and of a record's head.
+CHUNK, STEP, MOST_HEAD = 1 << 20, 16 << 10, 1 << 20
 FILES = "path string, index_path string, records long, bytes long"
 EMPTY = {"path": pa.string(), "index_path": pa.string(), "records": pa.int64(), "bytes": pa.int64()}
 
@@ -46,49 +48,67 @@ def fields(head: bytes) -> dict[str, str]:
 
 
 class Inflated:
-    """Bytes of a gzip stream in one pass: a whole file of one member, or of many, or cut by lost bytes at the end."""
+    """Bytes of a gzip stream in one pass, of one member or of many, in bounded memory; a stream cut short is told."""
 
     def __init__(self, source: BinaryIO):
-        self.source, self.buffer, self.inflater = source, bytearray(), zlib.decompressobj(31)
+        self.source, self.buffer, self.inflater, self.begun = source, bytearray(), zlib.decompressobj(31), False
 
     def more(self) -> bool:
-        data = self.inflater.unused_data or self.source.read(CHUNK)
-        if not data:
-            return False
-        if self.inflater.eof:
-            self.inflater = zlib.decompressobj(31)
-        self.buffer += self.inflater.decompress(data)
-        return True
-
-    def until(self, mark: bytes) -> bytes | None:
+        """Inflate up to CHUNK bytes more; False at the end of the stream, which must be a member's."""
+        while True:
+            data = self.inflater.unconsumed_tail
+            if self.inflater.eof:
+                data, self.inflater, self.begun = self.inflater.unused_data, zlib.decompressobj(31), False
+            data = data or self.source.read(STEP)
+            if not data:
+                if self.begun:
+                    raise EOFError("the stream ends within a gzip member")
+                return False
+            self.begun = True
+            out = self.inflater.decompress(data, CHUNK)
+            if out:
+                self.buffer += out
+                return True
+
+    def until(self, mark: bytes, most: int = MOST_HEAD) -> bytes | None:
+        """All up to a mark and the mark; None at the stream's end."""
         at, seen = -1, 0
         while (at := self.buffer.find(mark, seen)) < 0:
             seen = max(0, len(self.buffer) - len(mark))
+            if seen > most:
+                raise ValueError(f"no record head within {most} bytes")
             if not self.more():
+                if self.buffer:
+                    raise EOFError("the stream ends within a record's head")
                 return None
         return self.take(at + len(mark))
 
     def take(self, n: int) -> bytes:
-        while len(self.buffer) < n:
-            if not self.more():
+        return b"".join(self.pieces(n))
+
+    def pieces(self, n: int) -> Iterator[bytes]:
+        """The next n bytes, a piece at a time."""
+        while n:
+            if not self.buffer and not self.more():
                 raise EOFError("the stream ends within a record")
-        out = bytes(memoryview(self.buffer)[:n])
-        del self.buffer[:n]
-        return out
+            out = bytes(memoryview(self.buffer)[:n])
+            del self.buffer[: len(out)]
+            n -= len(out)
+            yield out
+
 
+def records(source: BinaryIO) -> Iterator[tuple[dict[str, str], Iterator[bytes]]]:
+    """(fields, all bytes in pieces) of the records of a compressed WARC stream, one after another.
 
-def records(source: BinaryIO) -> Iterator[tuple[bytes, dict[str, str], bytes]]:
-    """(whole record, its fields, its block) of a compressed WARC stream, one after another."""
+    A record's pieces must be taken before the next record; a stream that ends anywhere but after a record raises
+    EOFError, a head without a length ValueError.
+    """
     stream = Inflated(source)
     while (head := stream.until(b"\r\n\r\n")) is not None:
         found = fields(head)
-        block = stream.take(int(found["content-length"]))
-        yield head + block + stream.take(4), found, block
-
-
-def _member(data: bytes, level: int) -> bytes:
-    deflater = zlib.compressobj(level, zlib.DEFLATED, 31)
-    return deflater.compress(data) + deflater.flush()
+        if not found.get("content-length", "").isdecimal():
+            raise ValueError("a record's head has no content length")
+        yield found, chain([head], stream.pieces(int(found["content-length"]) + 4))
 
 
 def _write(folder: str, level: int):
@@ -123,11 +143,13 @@ def _normalise(folder: str, level: int):
                 source, there = opened(path)
                 offset = count = 0
                 with source.open_input_stream(there, compression=None) as read, target.open_output_stream(f"{where}/{name}", compression=None) as out, target.open_output_stream(f"{where}/{name}.idx", compression=None) as index:
-                    for whole, found, _ in records(read):
-                        member = _member(whole, level)
-                        out.write(member)
-                        index.write(json.dumps([offset, len(member), found["warc-type"], found["warc-record-id"], found.get("warc-target-uri")]).encode() + b"\n")
-                        offset, count = offset + len(member), count + 1
+                    for found, pieces in records(read):
+                        deflater, length = zlib.compressobj(level, zlib.DEFLATED, 31), 0
+                        for piece in pieces:
+                            length += out.write(deflater.compress(piece))
+                        length += out.write(deflater.flush())
+                        index.write(json.dumps([offset, length, found["warc-type"], found["warc-record-id"], found.get("warc-target-uri")]).encode() + b"\n")
+                        offset, count = offset + length, count + 1
                 at += 1
                 yield pa.record_batch([pa.array(x) for x in ([f"{folder}/{name}"], [f"{folder}/{name}.idx"], [count], [offset])], names=list(EMPTY))
 
@@ -161,6 +183,8 @@ def indexed(index_path: str) -> Iterator[list]:
         while data := f.read(CHUNK):
             *lines, left = (left + data).split(b"\n")
             yield from map(json.loads, lines)
+    if left:
+        raise EOFError(f"{index_path} ends within an entry")
 
 
 def read_at(path: str, offset: int, length: int) -> dict[str, Any]:
@@ -176,11 +200,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     for batch in batches:
-        for path, index_path in zip(batch.column("path").to_pylist(), batch.column("index_path").to_pylist()):
+        for path, index_path, count in zip(*(batch.column(c).to_pylist() for c in ("path", "index_path", "records"))):
             store, where = opened(path)
             rows: list[list] = [[] for _ in names]
+            seen = 0
             with store.open_input_file(where) as f:
                 for offset, length, *_ in indexed(index_path):
+                    seen += 1
                     found = read_record(f.read_at(length, offset))
                     if found["payload"] is not None and (len(found["payload"]) != found["payload_bytes"] or sha1(found["payload"]).hexdigest() != found["payload_digest"]):
                         raise ValueError(f"{path} is damaged at {offset}")
@@ -189,6 +215,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if len(rows[0]) >= 10_000:
                         yield pa.record_batch([pa.array(x, k) for x, k in zip(rows, kinds)], names=names)
                         rows = [[] for _ in names]
+            if seen != count:
+                raise ValueError(f"{index_path} has {seen} entries, not {count}")
             if rows[0]:
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(rows, kinds)], names=names)
 
@@ -212,25 +240,27 @@ def with_record_types(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
 def write_whole(typed: DataFrame, folder: str, level: int = 1) -> DataFrame:
     """Archives of one gzip stream each, one per partition; the files that were committed."""
-    return cut(typed.select("page_id", "url", "html", "record_type", "refers_to", "digest").mapInArrow(_write(folder, level), FILES))
+    return cut(typed.select("page_id", "url", "html", "record_type", "refers_to", "digest").mapInArrow(freeing(_write(folder, level)), FILES))
 
 
 def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """Normalise archives (column path), whatever their members: (path, index_path, records, bytes) of the new ones.
 
-    Each archive's stream is inflated once, front to back, in bounded memory; every record becomes a member of its own
-    in the new file, and a line of the sidecar index: offset, length, type, id, address. A file is one task's work; a
-    retried task writes under another name, and only committed files are listed. An archive cut short raises EOFError.
+    Each archive's stream is inflated once, front to back, CHUNK bytes at a time whatever it holds; every record becomes
+    a member of its own in the new file, and a line of the sidecar index: offset, length, type, id, address. A file is
+    one task's work; a retried task writes under another name, and only committed files are listed. An archive cut
+    short raises EOFError: within a head, a block, or a gzip member whose records are whole. A head of more than
+    MOST_HEAD bytes raises ValueError.
     """
-    return cut(archives.mapInArrow(_normalise(folder, level), FILES))
+    return cut(archives.mapInArrow(freeing(_normalise(folder, level)), FILES))
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record, by the sidecar index.
 
-    Payloads are checked against their digests; a revisit tells its payload's length and digest from its own headers.
+    An index that ends within an entry, or has not as many as the archive has records, raises an error. Payloads are checked against their digests; a revisit tells its payload's length and digest from its own headers.
     """
-    return archives.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.mapInArrow(freeing(_read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:

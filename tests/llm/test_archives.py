@@ -48,8 +48,58 @@ def test_normalise_any_members(spark, tmp_path, members):
     assert [gzip.decompress(data[a : a + n]) for a, n, *_ in entries] == one
 
 
+def refused(spark, tmp_path, data, match):
+    (tmp_path / "in.warc.gz").write_bytes(data)
+    with pytest.raises(Exception, match=match):
+        warc.normalise(spark.createDataFrame([(str(tmp_path / "in.warc.gz"),)], "path string"), str(tmp_path / "out")).collect()
+
+
 def test_cut_stream_is_told(spark, tmp_path):
     whole = gzip.compress(warc.record(1, "u", bytes(range(256)) * 500, "response", None, "00" * 20))
-    (tmp_path / "in.warc.gz").write_bytes(whole[: len(whole) // 2])
-    with pytest.raises(Exception, match="ends within a record"):
-        warc.normalise(spark.createDataFrame([(str(tmp_path / "in.warc.gz"),)], "path string"), str(tmp_path / "out")).collect()
+    refused(spark, tmp_path, whole[: len(whole) // 2], "ends within a")
+    refused(spark, tmp_path, whole[:-8], "ends within a gzip member")  # all records are there, the trailer is not
+    five = [warc.record(i, "u", b"p" * 50, "response", None, "00" * 20) for i in range(5)]
+    refused(spark, tmp_path, gzip.compress(b"".join(five[:3]) + five[3][:30]), "within a record's head")
+    refused(spark, tmp_path, gzip.compress(b"".join(five[:3]) + five[3][:-2]), "ends within a record")
+    refused(spark, tmp_path, gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\n\r\n"), "no content length")
+    refused(spark, tmp_path, gzip.compress(b"x" * (warc.MOST_HEAD + warc.CHUNK * 3)), "no record head")
+
+
+def test_a_cut_index_is_told(spark, tmp_path):
+    files = warc.archive(pages(spark).coalesce(1), str(tmp_path / "out"))
+    index = files.first().index_path
+    where = index.removeprefix("file:")
+    whole = open(where, "rb").read()
+    for data, match in ((whole[:-5], "ends within an entry"), (whole[: whole.rindex(b"\n", 0, -1) + 1], "has 9 entries, not 10")):
+        with open(where, "wb") as f:
+            f.write(data)
+        with pytest.raises(Exception, match=match):
+            warc.read_archives(files).collect()
+
+
+def test_a_highly_compressed_stream_stays_small():
+    import io
+    import tracemalloc
+
+    body = gzip.compress(warc.record(1, "u", b"\0" * (64 << 20), "response", None, "00" * 20), 9)
+    assert len(body) < 1 << 20
+    tracemalloc.start()
+    sizes = [sum(map(len, pieces)) for _, pieces in warc.records(io.BytesIO(body))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes[0] > 64 << 20 and peak < 8 << 20
+
+
+def test_many_small_members():
+    import io
+
+    one = [warc.record(i, "u", b"p" * (i % 90), "response", None, "00" * 20) for i in range(5000)]
+    data = b"".join(map(gzip.compress, one))
+    assert [b"".join(pieces) for _, pieces in warc.records(io.BytesIO(data))] == one
+
+
+def test_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    odd = pages(spark).withColumns({c: F.lit("1") for c in ("digest", "same", "largest", "n", "record_type", "refers_to", "path")})
+    assert warc.read_archives(warc.archive(odd)).count() == 10
