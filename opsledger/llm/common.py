@@ -38,10 +38,27 @@ def shared_dir(spark: SparkSession) -> str:
     return str(base)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "4m"):
+    """Jobs that run within exchange Arrow batches of at most so many bytes with Python workers, long texts apart."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared folder; Spark's cleaner may remove them when unused."""
+    """The same rows, computed once and kept in the shared folder, with small_batches().
+
+    They stay there after use, unless the session sets spark.cleaner.referenceTracking.cleanCheckpoints, by which Spark
+    removes them with the DataFrame.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -62,7 +79,6 @@ def free() -> None:
 
     import pyarrow as pa
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
         ctypes.CDLL(None).malloc_trim(0)

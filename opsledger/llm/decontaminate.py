@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsledger.llm.common import cut, fresh, small
+from opsledger.llm.common import cut, freeing, fresh, small
 
 #: Errors allowed per character of a test item, characters of the shortest piece, and of the grams that filter windows.
 RATE, LEAST_PIECE, GRAM = 0.1, 8, 6
@@ -206,7 +206,7 @@ def _found(texts: DataFrame, keys: list[str], blocks: Iterator[list[tuple[int, s
     for items in blocks:
         if parts:
             parts[-1] = cut(parts[-1])
-        parts.append(texts.mapInArrow(_search(items, rate, keys), ", ".join(f"{k} long" for k in [*keys, "item_id", "distance", "start", "end"])))
+        parts.append(texts.mapInArrow(freeing(_search(items, rate, keys)), ", ".join(f"{k} long" for k in [*keys, "item_id", "distance", "start", "end"])))
     return reduce(DataFrame.unionByName, parts)
 
 

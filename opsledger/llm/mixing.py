@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsledger.llm.common import WORD, cut, small_by_bytes
+from opsledger.llm.common import WORD, cut, freeing_group, small_by_bytes
 
 #: No document is taken more often than this.
 MOST = 2.0
@@ -123,5 +123,5 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
         "block": F.pmod(F.xxhash64("id", "size"), F.ceil(F.col("docs") / BLOCK)),
     }))
     fine = rated.select("id", "source", "block", "size", "rate", "row")
-    copies = fine.groupBy("source", "block").applyInPandas(_round, "row long, copies long")
+    copies = fine.groupBy("source", "block").applyInPandas(freeing_group(_round), "row long, copies long")
     return rated.join(copies, "row").select(F.col("id").alias(id_col), "size", "source", "source_size", "target", "rate", "copies")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsledger.llm.blocks import SCHEMA, batch_of, blocks_of, packed, unpacked
-from opsledger.llm.common import connected_components, cut, pieces, small
+from opsledger.llm.common import connected_components, cut, freeing, freeing_group, pieces, small
 from opsledger.llm.shingle_trie import cross_links, self_links
 from opsledger.llm.wordhash import shingle_sets
 
@@ -141,9 +141,9 @@ def ordered_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = pieces(spark, total, RANGE_BYTES, 1 << 20)
-    sent = texts.mapInArrow(_to_ranges(ranges), SCHEMA)
-    shared = sent.groupBy("part").applyInArrow(_share, SCHEMA)
-    return cut(shared.groupBy("block").applyInArrow(_collect, SETS))
+    sent = texts.mapInArrow(freeing(_to_ranges(ranges)), SCHEMA)
+    shared = sent.groupBy("part").applyInArrow(freeing_group(_share), SCHEMA)
+    return cut(shared.groupBy("block").applyInArrow(freeing_group(_collect), SETS))
 
 
 def _sets(table: pa.Table) -> list[tuple[int, int, np.ndarray]]:
@@ -199,14 +199,14 @@ def similar_links(sets: DataFrame, task_tokens: int = TASK_TOKENS) -> DataFrame:
     large = cut(weights.where(F.col("weight") > task_tokens))
     tasks = pieces(spark, weights.agg(F.sum("weight")).first()[0] or 0, task_tokens, task_tokens // 8 + 1)
     few = placed.join(small(large.select("comp"), 16), "comp", "left_anti").withColumn("task", F.pmod(F.xxhash64("comp"), F.lit(tasks)))
-    links = few.groupBy("task").applyInArrow(_within, "src long, dst long")
+    links = few.groupBy("task").applyInArrow(freeing_group(_within), "src long, dst long")
     if not large.limit(1).count():
         return cut(links)
     blocked = large.withColumn("all_blocks", F.ceil(F.col("weight") / task_tokens).cast("long"))
     many = placed.join(small(blocked, 40), "comp")
     lead = many.where(F.pmod(F.xxhash64("doc_id"), F.col("all_blocks")) == 0)
     first = _pairs(lead.withColumns({"stored_blocks": F.lit(1).cast("long"), "probe_blocks": F.col("all_blocks")}), many.withColumns({"stored_blocks": F.lit(1).cast("long"), "probe_blocks": F.col("all_blocks")}))
-    links = cut(links.unionByName(first.groupBy("comp", "i", "j").applyInArrow(_between, "src long, dst long")))
+    links = cut(links.unionByName(first.groupBy("comp", "i", "j").applyInArrow(freeing_group(_between), "src long, dst long")))
     groups = connected_components(links, "src", "dst").withColumnsRenamed({"node": "doc_id", "component": "grp"})
     known = cut(many.join(groups, "doc_id", "left").withColumn("grp", F.coalesce("grp", "doc_id")))
     most = known.groupBy("comp", "grp").agg(F.count("*").alias("size")).groupBy("comp").agg(F.max(F.struct("size", "grp")).alias("best")).select("comp", F.col("best.grp").alias("best"))
@@ -215,7 +215,7 @@ def similar_links(sets: DataFrame, task_tokens: int = TASK_TOKENS) -> DataFrame:
     open_ = cut(outside.groupBy("comp").agg(F.sum(weigh).alias("open")).withColumn("open_blocks", F.ceil(F.col("open") / task_tokens).cast("long")))
     counted = known.join(small(open_, 40), "comp").withColumns({"stored_blocks": F.col("open_blocks"), "probe_blocks": F.col("all_blocks")})
     second = _pairs(counted.where("grp <> best"), counted)
-    return cut(links.unionByName(second.groupBy("comp", "i", "j").applyInArrow(_between, "src long, dst long")))
+    return cut(links.unionByName(second.groupBy("comp", "i", "j").applyInArrow(freeing_group(_between), "src long, dst long")))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_tokens: int = TASK_TOKENS) -> DataFrame:

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opsledger.llm.common import freeing
 from opsledger.llm.spans import PLACE, covered_intervals
 
 #: Sentences in a span, the fewest words of a span (of short sentences it takes more) and the most (of long ones it
@@ -165,7 +166,7 @@ def sentence_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cleaned alike. Other columns are not carried. Ids are integers; a null id is an id like others.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    runs = texts.where("text is not null").mapInArrow(_runs(width, fewest_words), "id long, pos long, h1 long, h2 long")
+    runs = texts.where("text is not null").mapInArrow(freeing(_runs(width, fewest_words)), "id long, pos long, h1 long, h2 long")
     cover = covered_intervals(runs, None).withColumnRenamed("id", "__id")
     joined = texts.join(cover, F.col("id").eqNullSafe(F.col("__id")), "left")
-    return joined.select("id", "text", "intervals").mapInArrow(_clean, "doc_id long, text string, n_removed long")
+    return joined.select("id", "text", "intervals").mapInArrow(freeing(_clean), "doc_id long, text string, n_removed long")

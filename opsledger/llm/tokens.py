@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from opsledger.llm.common import cut, fits_broadcast, freeing, scratch
+from opsledger.llm.common import cut, fits_broadcast, freeing, scratch, small_batches
 
 END_ID = 1
 #: Bytes of a row group and of a page before compression, and documents and text bytes of a shard on average, at most.
@@ -149,9 +149,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, id_col: str
     order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("row")]
     ordered = narrow.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("shard"))
     encoded = ordered.mapInArrow(freeing(_encode(tokenizer_path)), SCHEMA)
-    (encoded.write.option("parquet.block.size", GROUP_BYTES).option("parquet.page.size", PAGE_BYTES).option("parquet.writer.version", "v2")
-     .option("parquet.enable.dictionary", "false").option("parquet.enable.dictionary#ids.list.element", "true").option("parquet.dictionary.page.size", 1 << 20)
-     .option("compression", "zstd").parquet(folder))
+    with small_batches(docs.sparkSession):
+        (encoded.write.option("parquet.block.size", GROUP_BYTES).option("parquet.page.size", PAGE_BYTES).option("parquet.writer.version", "v2")
+         .option("parquet.enable.dictionary", "false").option("parquet.enable.dictionary#ids.list.element", "true").option("parquet.dictionary.page.size", 1 << 20)
+         .option("compression", "zstd").parquet(folder))
 
 
 def shard_bases(tokens: DataFrame) -> DataFrame:
