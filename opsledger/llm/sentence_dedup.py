@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsledger.llm.common import freeing
-from opsledger.llm.spans import PLACE, covered_intervals
+from opsledger.llm.spans import PLACE, covered_intervals, text_key, with_intervals
 
 #: Sentences in a span, the fewest words of a span (of short sentences it takes more) and the most (of long ones it
 #: takes the first words), and the longest unit in words: any MOST_WORDS + SPAN_WORDS words of a text hold a whole span.
@@ -102,19 +102,20 @@ def _runs(width: int, fewest: int):
         import numpy as np
 
         for batch in batches:
-            ids, pos, digests = [], [], []
-            for k, text in zip(batch.column(0), batch.column(1)):
+            rows, pos, digests = [], [], []
+            for i, text in enumerate(batch.column(2)):
                 body = text.as_py()
                 if not body:
                     continue
                 words, ends, places = cuts(body)
-                own = spans(ends, places, width, fewest, most)
-                ids += [k.as_py()] * len(own)
+                own = sorted(spans(ends, places, width, fewest, most))
+                rows += [i] * len(own)
                 for a, b in own:
                     pos.append(a * PLACE + b - a)
                     digests.append(blake2b(" ".join(words[a:b]).encode("utf-8", "surrogatepass"), digest_size=16).digest())
             both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(pos, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["id", "pos", "h1", "h2"])
+            own = pa.array(rows, pa.int64())
+            yield pa.record_batch([batch.column(0).take(own), batch.column(1).take(own), pa.array(pos, pa.int64()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["id", "key", "pos", "h1", "h2"])
 
     return run
 
@@ -162,11 +163,12 @@ def sentence_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     which are removed; n_removed counts the units that lose words. Cuts depend on the words around them alone, so any
     passage of over 50 words that repeats holds a common span wherever it starts; of one that starts or ends inside a
     sentence up to MOST_WORDS words at each end may stay. A null text stays null, an empty one empty; documents
-    without a span stay as they are. Rows sharing an id count as one document and, if their texts are equal, are
-    cleaned alike. Other columns are not carried. Ids are integers; a null id is an id like others.
+    without a span stay as they are. Rows sharing an id and a text are one document and are cleaned alike; others are
+    documents of their own, those of a null id too. Other columns are not carried. Ids are integers. With fewest_words
+    0 or 1 any `width` sentences are a span.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    runs = texts.where("text is not null").mapInArrow(freeing(_runs(width, fewest_words)), "id long, pos long, h1 long, h2 long")
-    cover = covered_intervals(runs, None).withColumnRenamed("id", "__id")
-    joined = texts.join(cover, F.col("id").eqNullSafe(F.col("__id")), "left")
+    keyed = texts.where("text is not null").select("id", text_key(F.col("text")).alias("key"), "text")
+    runs = keyed.mapInArrow(freeing(_runs(width, fewest_words)), "id long, key long, pos long, h1 long, h2 long")
+    joined = with_intervals(texts, F.col("id"), F.col("text"), covered_intervals(runs, None), "intervals")
     return joined.select("id", "text", "intervals").mapInArrow(freeing(_clean), "doc_id long, text string, n_removed long")

@@ -27,13 +27,39 @@ def test_exact(docs, rows, none):
 
 
 def test_exact_with_a_crowded_filter(docs):
+    from opsledger.llm import bloom
     from opsledger.llm import exact_dedup as module
     from pyspark.sql import functions as F
 
-    keyed = docs.select(F.coalesce("text", F.lit("")).alias("k"))
-    few = module.possibly_repeated(keyed, "k", max_bits=module.PIECE_BITS).collect()
-    count = Counter(r.k for r in few)
-    assert all(r.suspect for r in few if count[r.k] > 1) and not all(r.suspect for r in few)
+    keyed = docs.select(F.coalesce("text", F.lit("")).alias("k"), F.when(F.col("doc_id") == 5, None).otherwise(F.col("text")).alias("n"))
+    count = Counter(r.k for r in keyed.collect())
+    for bits, passes in ((bloom.PIECE_BITS, 1), (bloom.PIECE_BITS, 4), (1 << 29, 16)):
+        suspect, lone = module.repeated(keyed, "k", bits, passes)
+        suspect, lone = ([r.k for r in x.collect()] for x in (suspect, lone))
+        assert Counter(suspect + lone) == count and all(count[k] == 1 for k in lone) and len(lone) > 10
+        suspect, lone = module.repeated(keyed, "n", bits, passes)
+        assert suspect.count() + lone.count() == keyed.count() and suspect.where("n is null").count() == 0
+
+
+def test_exact_in_several_passes(docs, rows, monkeypatch):
+    from opsledger.llm import bloom
+    from opsledger.llm import exact_dedup as module
+
+    monkeypatch.setattr(bloom, "BITS_PER_ROW", 4000)
+    own = module.repeated
+    monkeypatch.setattr(module, "repeated", lambda keyed, key: own(keyed, key, bloom.PIECE_BITS, 4))
+    test_exact(docs, rows, docs.limit(0))
+
+
+def test_filters_of_hashes(spark):
+    from opsledger.llm import bloom
+    from pyspark.sql import functions as F
+
+    held = spark.range(0, 3000, 3).withColumn("h", F.xxhash64("id"))
+    asked = spark.range(4000).withColumn("h", F.when(F.col("id") != 3999, F.xxhash64("id")))
+    pieces = bloom.pieces_for(held.count())
+    got = {r.id: r.may for r in bloom.tested(bloom.spots(asked, F.col("h"), pieces), bloom.once(bloom.spots(held, F.col("h"), pieces)), "may").collect()}
+    assert all(got[i] for i in range(0, 3000, 3)) and got[3999] is False and sum(got.values()) < 1100
 
 
 def removed_lines(rows, width=3):
@@ -44,7 +70,7 @@ def removed_lines(rows, width=3):
         for i in range(len(lines) - width + 1):
             run = tuple(lines[i : i + width])
             if any(x.strip(" ") for x in run):
-                seen.setdefault(run, set()).add((k is not None, k or 0, i))
+                seen.setdefault(run, set()).add((k is not None, k or 0, i, text))
     out = Counter()
     for k, text in rows:
         if text is None:
@@ -53,7 +79,7 @@ def removed_lines(rows, width=3):
         lines, gone = text.split("\n"), set()
         for i in range(len(lines) - width + 1):
             run = tuple(lines[i : i + width])
-            if run in seen and min(seen[run]) != (k is not None, k or 0, i):
+            if run in seen and min(seen[run]) != (k is not None, k or 0, i, text):
                 gone.update(range(i, i + width))
         out[(k, "\n".join(x for i, x in enumerate(lines) if i not in gone))] += 1
     return out
@@ -70,9 +96,43 @@ def test_lines(spark):
     assert line_dedup(frame(spark, []).limit(0)).count() == 0
 
 
-def test_no_python_in_native_operators(docs):
+def test_lines_where_nothing_is_broadcast(spark, monkeypatch):
+    from opsledger.llm import spans
+
+    monkeypatch.setattr(spans, "fits_broadcast", lambda *x: False)
+    monkeypatch.setattr(spans, "small_by_bytes", lambda df, *x: df)
+    test_lines(spark)
+
+
+def test_blank_lines_may_go_too(spark):
+    rows = [(1, "\n\n\nq"), (2, "r\n\n\n\ns")]
+    got = {r.doc_id: r.text for r in line_dedup(frame(spark, [(k, t, None, None) for k, t in rows]), keep_blank=False).collect()}
+    assert got == {1: rows[0][1], 2: "r\ns"}
+
+
+def test_a_very_long_text(spark):
+    body = "\n".join(f"line {i % 7919} of {i}" for i in range(60_000))
+    rows = [(1, body), (2, "own\n" + body.split("\n", 100)[-1]), (3, "x\ny\nz")]
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup(frame(spark, [(k, t, None, None) for k, t in rows])).collect()}
+    assert got == {1: (60_000, 0), 2: (59_901, 59_900), 3: (3, 0)}
+    got = {r.doc_id: r.n_removed for r in sentence_dedup(frame(spark, [(k, t, None, None) for k, t in rows])).collect()}
+    assert got[1] == got[3] == 0 and got[2] >= 59_900
+
+
+def test_no_python_in_native_operators(docs, monkeypatch):
+    """Neither in what they return nor in any job on the way there."""
+    from opsledger.llm import exact_dedup as exact
+    from opsledger.llm import spans
+
+    plans = []
+    for module in (exact, spans):
+        own = module.cut
+        monkeypatch.setattr(module, "cut", lambda df, own=own: plans.append(df) or own(df))
     for out in (exact_dedup(docs), line_dedup(docs)):
-        plan = out._jdf.queryExecution().executedPlan().toString()
+        plans.append(out)
+    assert len(plans) >= 7
+    for df in plans:
+        plan = df._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
@@ -97,6 +157,50 @@ def test_sentences(spark):
     assert texts[6] == "" and got[(6, "", 6)] == 2
 
 
+def cleaned(rows):
+    """What is left of each (id, text), by the definition: every span but the first of equal ones covers its words."""
+    from opsledger.llm import sentence_dedup as module
+
+    place, seen = lambda k, a, b, key: (k is not None, k or 0, a * module.PLACE + b - a, key), {}
+    keys = {t: i for i, t in enumerate(sorted({t for _, t in rows if t is not None}))}
+    found = []
+    for k, text in rows:
+        own, words = [], []
+        if text:
+            words, ends, places = module.cuts(text)
+            own = [(a, b, " ".join(words[a:b])) for a, b in module.spans(ends, places)]
+        found.append((words, own))
+        for a, b, run in own:
+            seen.setdefault(run, set()).add(place(k, a, b, keys[text]))
+    out = Counter()
+    for (k, text), (words, own) in zip(rows, found):
+        gone = {i for a, b, run in own if min(seen[run])[:3] != place(k, a, b, 0)[:3] for i in range(a, b)}
+        out[(k, None if text is None else tuple(w for i, w in enumerate(words) if i not in gone))] += 1
+    return out
+
+
+def test_sentences_by_the_definition(spark, monkeypatch):
+    from opsledger.llm import spans
+
+    rng = random.Random(12)
+    pool = [f"w{i}" for i in range(90)]
+    sentence = lambda: " ".join(rng.choices(pool, k=rng.choice([1, 2, 5, 9, 30, 60]))) + rng.choice([".", "!", "?", "\n"])
+    passages = [" ".join(sentence() for _ in range(rng.randrange(2, 9))) for _ in range(8)]
+    rows = [(i, " ".join(rng.choice([sentence(), sentence(), rng.choice(passages)]) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
+    rows += [(None, passages[0]), (61, None), (62, ""), (63, " \n"), (3, rows[3][1]), (64, rows[4][1])]
+    want = cleaned(rows)
+    docs = frame(spark, [(k, t, None, None) for k, t in rows])
+
+    def got():
+        return Counter((r.doc_id, None if r.text is None else tuple(r.text.split())) for r in sentence_dedup(docs).collect())
+
+    assert got() == want
+    monkeypatch.setattr(spans, "fits_broadcast", lambda *x: False)
+    monkeypatch.setattr(spans, "small_by_bytes", lambda df, *x: df)
+    assert got() == want
+    assert sentence_dedup(docs.limit(0)).count() == 0
+
+
 def test_passages_of_short_sentences(spark):
     short = " ".join(f"{'abcdefghij'[i // 10]}{i}!!" for i in range(60))
     rows = [(1, "Some beginning of it all. " + short), (2, "Quite another start here. " + short + " Its own end."), (3, "No. Yes. No.")]
