@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+from opsledger.llm.wordhash import mix
+
 SCHEMA = "part long, block long, kind int, data binary"
 NAMES = ["part", "block", "kind", "data"]
 
 
+#: Text bytes of a block, at least, and bytes that a message from a block to a part holds, about, in a large exchange.
+BLOCK_BYTES, MESSAGE_BYTES = 8 << 20, 4 << 10
+
+
+def block_bytes(total: int) -> int:
+    """Text bytes of a block: beyond 16 GiB of text the root of their number, so that messages don't shrink with it."""
+    return max(BLOCK_BYTES, math.isqrt(total * MESSAGE_BYTES))
+
+
+def spread(block: int) -> int:
+    """A number of a block that is even over any number of parts, as the blocks' own numbers are not."""
+    return int(mix(np.array([block], dtype=np.uint64))[0] >> np.uint64(33))
+
+
 def packed(*columns: np.ndarray) -> bytes:
     """Columns of unsigned or signed integers as byte planes, each compressed; ascending uint64 ones by differences.
 

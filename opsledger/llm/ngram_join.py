@@ -7,16 +7,16 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsledger.llm.blocks import SCHEMA, batch_of, blocks_of, packed, unpacked
+from opsledger.llm.blocks import SCHEMA, batch_of, block_bytes, blocks_of, packed, spread, unpacked
 from opsledger.llm.common import connected_components, cut, freeing, freeing_group, pieces, small
 from opsledger.llm.shingle_trie import cross_links, self_links
 from opsledger.llm.wordhash import shingle_sets
 
-#: Text bytes of a block of documents, and of a range of the hashes (their shingles are what a task holds).
-BLOCK_BYTES, RANGE_BYTES = 16 << 20, 24 << 20
+#: Text bytes of a range of the hashes (their shingles are what a task holds); those of a block are block_bytes().
+RANGE_BYTES = 12 << 20
 #: Documents of a block that make a shingle frequent; it then needs no counting: it comes last in the order.
 FREQUENT, FREQUENT_CLASS = 64, 255
 #: Tokens that one trie task stores, and what a document weighs besides its tokens.
@@ -41,7 +41,7 @@ def _block_rows(block: int, ids: list, texts: list[bytes], ranges: int) -> Itera
     counts = np.diff(np.concatenate([first, [len(tokens)]]))
     often = counts >= FREQUENT
     hot = np.repeat(often, counts)
-    yield batch_of([(block % ranges, block, META, np.int64(len(meta)).tobytes() + meta + packed(tokens[hot], docs[hot]))])
+    yield batch_of([(spread(block) % ranges, block, META, np.int64(len(meta)).tobytes() + meta + packed(tokens[hot], docs[hot]))])
     keep = ~hot
     keep[first[often]] = True  # one entry says that the shingle is frequent here
     tokens, docs = tokens[keep], np.where(hot[keep], np.uint32(0xFFFFFFFF), docs[keep])
@@ -52,9 +52,9 @@ def _block_rows(block: int, ids: list, texts: list[bytes], ranges: int) -> Itera
         yield batch_of(rows[i : i + 256])
 
 
-def _to_ranges(ranges: int):
+def _to_ranges(ranges: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, columns, texts in blocks_of(batches, BLOCK_BYTES):
+        for block, columns, texts in blocks_of(batches, size):
             yield from _block_rows(block, columns[0], texts, ranges)
 
     return run
@@ -71,8 +71,10 @@ def _share(table: pa.Table) -> pa.Table:
             tokens.append(t)
             docs.append(d)
             blocks.append(np.full(len(t), block, dtype=np.int64))
+    del table
     if tokens:
         t, d, b = map(np.concatenate, (tokens, docs, blocks))
+        tokens, docs, blocks = [], [], []
         order = np.argsort(t, kind="stable")
         t, d, b = t[order], d[order], b[order]
         first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
@@ -140,8 +142,9 @@ def ordered_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = pieces(spark, total, RANGE_BYTES, 1 << 20)
-    sent = texts.mapInArrow(freeing(_to_ranges(ranges)), SCHEMA)
+    size = block_bytes(total)
+    ranges = pieces(spark, total, max(RANGE_BYTES, size), 1 << 20)
+    sent = texts.mapInArrow(freeing(_to_ranges(ranges, size)), SCHEMA)
     shared = sent.groupBy("part").applyInArrow(freeing_group(_share), SCHEMA)
     return cut(shared.groupBy("block").applyInArrow(freeing_group(_collect), SETS))
 
@@ -164,28 +167,28 @@ def _within(table: pa.Table) -> pa.Table:
 
 
 def _between(table: pa.Table) -> pa.Table:
-    """Links between the stored and the probing documents of one pair of blocks."""
-    probing = table["probing"].to_numpy(zero_copy_only=False)
-    return _links(cross_links(_sets(table.filter(pa.array(~probing))), _sets(table.filter(pa.array(probing)))))
+    """Links between the stored and the probing documents of one task; one may be both."""
+    stored, probing = (table[c].to_numpy(zero_copy_only=False) for c in ("stored", "probing"))
+    return _links(cross_links(_sets(table.filter(pa.array(stored))), _sets(table.filter(pa.array(probing)))))
 
 
-def _pairs(stored: DataFrame, probes: DataFrame) -> DataFrame:
-    """Rows of (comp, i, j): each stored block i with each probing block j of its component, by replicating rows."""
-    i, j = F.pmod(F.xxhash64("doc_id"), F.col("stored_blocks")), F.pmod(F.xxhash64("doc_id"), F.col("probe_blocks"))
-    cols = ["comp", "i", "j", "doc_id", "n", "tokens"]
-    a = stored.withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("probe_blocks") - 1))).select(*cols, F.lit(False).alias("probing"))
-    b = probes.withColumn("j", j).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("stored_blocks") - 1))).select(*cols, F.lit(True).alias("probing"))
-    return a.unionByName(b)
+LINKS = "src long, dst long"
+
+
+def _weight() -> Column:
+    """What a document weighs, in tokens."""
+    return (F.octet_length("tokens") / 8 + DOC_WEIGHT).cast("long")
 
 
 def similar_links(sets: DataFrame, task_tokens: int = TASK_TOKENS) -> DataFrame:
     """(src, dst) that connect all sets which chains of links connect; sets of distinct digest, as ordered_sets gives.
 
     Sets that share a prefix shingle are candidates; chains of candidates form components. A component of up to
-    task_tokens tokens is one trie's work. A larger one is cut into blocks: first one block's trie is probed by all;
-    then every document outside the largest group found is stored again, in blocks, and probed by all others, so that
-    only pairs inside a group that is connected already are left out. Tasks return no more links than connect their
-    documents.
+    task_tokens tokens is one trie's work. In a larger one, first a part of it is stored in one trie and probed by all,
+    which joins what copies it mostly consists of; what is then outside the largest group found is open, and every open
+    document meets all that share a prefix shingle with it: documents go to the tasks of their prefix shingles, and a
+    shingle's documents meet in one task, or, if it is hot, in blocks of the shingle's own. Tasks return no more links
+    than connect their documents, and the rows moved grow with the documents and the lengths of their prefixes.
     """
     spark = sets.sparkSession
     near = sets.where(F.size("prefix") > 0).where("doc_id is not null")
@@ -193,29 +196,53 @@ def similar_links(sets: DataFrame, task_tokens: int = TASK_TOKENS) -> DataFrame:
     hubs = prefix.groupBy("token").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far")).where("hub <> far").drop("far")
     chains = prefix.join(hubs, "token").where("doc_id <> hub").select("doc_id", "hub").distinct()
     members = connected_components(chains, "doc_id", "hub").withColumnsRenamed({"node": "doc_id", "component": "comp"})
-    placed = cut(near.select("doc_id", "n", "tokens").join(members, "doc_id"))
-    weigh = (F.octet_length("tokens") / 8 + DOC_WEIGHT).cast("long")
-    weights = cut(placed.groupBy("comp").agg(F.sum(weigh).alias("weight")))
+    placed = cut(near.select("doc_id", "n", "k1", "k2", "prefix", "tokens").join(members, "doc_id"))
+    weights = cut(placed.groupBy("comp").agg(F.sum(_weight()).alias("weight")))
     large = cut(weights.where(F.col("weight") > task_tokens))
     tasks = pieces(spark, weights.agg(F.sum("weight")).first()[0] or 0, task_tokens, task_tokens // 8 + 1)
     few = placed.join(small(large.select("comp"), 16), "comp", "left_anti").withColumn("task", F.pmod(F.xxhash64("comp"), F.lit(tasks)))
-    links = few.groupBy("task").applyInArrow(freeing_group(_within), "src long, dst long")
+    links = few.select("comp", "task", "doc_id", "n", "tokens").groupBy("task").applyInArrow(freeing_group(_within), LINKS)
     if not large.limit(1).count():
         return cut(links)
-    blocked = large.withColumn("all_blocks", F.ceil(F.col("weight") / task_tokens).cast("long"))
-    many = placed.join(small(blocked, 40), "comp")
-    lead = many.where(F.pmod(F.xxhash64("doc_id"), F.col("all_blocks")) == 0)
-    first = _pairs(lead.withColumns({"stored_blocks": F.lit(1).cast("long"), "probe_blocks": F.col("all_blocks")}), many.withColumns({"stored_blocks": F.lit(1).cast("long"), "probe_blocks": F.col("all_blocks")}))
-    links = cut(links.unionByName(first.groupBy("comp", "i", "j").applyInArrow(freeing_group(_between), "src long, dst long")))
+    many = placed.join(small(large, 32), "comp").withColumn("blocks", F.ceil(F.col("weight") / task_tokens).cast("long"))
+    links = cut(links.unionByName(_probe_leaders(many)))
+    return cut(links.unionByName(_join_open(many.drop("weight", "blocks"), links, task_tokens)))
+
+
+def _probe_leaders(many: DataFrame) -> DataFrame:
+    """Links of a block of each component, the leaders, with all its documents: leaders go to each block of probes."""
+    dealt = many.withColumn("at", F.pmod(F.xxhash64("doc_id", "k1"), F.col("blocks")))
+    cols = ["comp", "j", "doc_id", "n", "tokens", "stored", "probing"]
+    leaders = dealt.where("at = 0").withColumns({"j": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "stored": F.lit(True), "probing": F.lit(False)})
+    probes = dealt.withColumns({"j": F.col("at"), "stored": F.lit(False), "probing": F.lit(True)})
+    return leaders.select(*cols).unionByName(probes.select(*cols)).groupBy("comp", "j").applyInArrow(freeing_group(_between), LINKS)
+
+
+def _join_open(many: DataFrame, links: DataFrame, task_tokens: int) -> DataFrame:
+    """Links of the documents outside each component's largest group with all that share a prefix shingle with them."""
     groups = connected_components(links, "src", "dst").withColumnsRenamed({"node": "doc_id", "component": "grp"})
-    known = cut(many.join(groups, "doc_id", "left").withColumn("grp", F.coalesce("grp", "doc_id")))
+    known = many.join(groups, "doc_id", "left").withColumn("grp", F.coalesce("grp", "doc_id"))
+    known = cut(known.withColumns({"row": F.monotonically_increasing_id(), "w": _weight()}))
     most = known.groupBy("comp", "grp").agg(F.count("*").alias("size")).groupBy("comp").agg(F.max(F.struct("size", "grp")).alias("best")).select("comp", F.col("best.grp").alias("best"))
-    known = known.join(small(cut(most), 40), "comp")
-    outside = known.where("grp <> best")
-    open_ = cut(outside.groupBy("comp").agg(F.sum(weigh).alias("open")).withColumn("open_blocks", F.ceil(F.col("open") / task_tokens).cast("long")))
-    counted = known.join(small(open_, 40), "comp").withColumns({"stored_blocks": F.col("open_blocks"), "probe_blocks": F.col("all_blocks")})
-    second = _pairs(counted.where("grp <> best"), counted)
-    return cut(links.unionByName(second.groupBy("comp", "i", "j").applyInArrow(freeing_group(_between), "src long, dst long")))
+    known = known.join(small(cut(most), 40), "comp").withColumn("open", F.col("grp") != F.col("best")).drop("grp", "best", "comp")
+    posts = cut(known.select("row", "open", "w", F.explode("prefix").alias("token")))
+    opened = F.sum(F.when(F.col("open"), F.col("w")).otherwise(0))
+    met = cut(posts.groupBy("token").agg(F.count("*").alias("docs"), F.sum("w").alias("all_w"), opened.alias("open_w")).where("docs > 1 and open_w > 0").drop("docs"))
+    spark, rows = posts.sparkSession, known.select("row", "doc_id", "n", "tokens", F.col("open").alias("stored"), F.lit(True).alias("probing"))
+    cold, hot = met.where(F.col("all_w") <= task_tokens), cut(met.where(F.col("all_w") > task_tokens))
+    tasks = pieces(spark, cold.agg(F.sum("all_w")).first()[0] or 0, task_tokens, task_tokens // 8 + 1)
+    dealt = posts.join(small(cut(cold), 40), "token").select("row", F.pmod(F.xxhash64("token"), F.lit(tasks)).alias("task")).distinct()
+    found = dealt.join(rows, "row").groupBy("task").applyInArrow(freeing_group(_between), LINKS)
+    if not hot.limit(1).count():
+        return found
+    blocks = lambda w: F.ceil(F.col(w) / task_tokens).cast("long")
+    own = posts.join(small(hot, 40), "token").withColumns({"is": blocks("open_w"), "js": blocks("all_w")})
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = lambda n: F.pmod(F.xxhash64("row"), F.col(n))
+    stored = own.where("open").withColumn("i", at("is")).withColumn("j", each("js")).select("token", "i", "j", "row", F.lit(True).alias("stored"), F.lit(False).alias("probing"))
+    probes = own.withColumn("j", at("js")).withColumn("i", each("is")).select("token", "i", "j", "row", F.lit(False).alias("stored"), F.lit(True).alias("probing"))
+    pairs = stored.unionByName(probes).join(rows.drop("stored", "probing"), "row")
+    return found.unionByName(pairs.groupBy("token", "i", "j").applyInArrow(freeing_group(_between), LINKS))
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_tokens: int = TASK_TOKENS) -> DataFrame:

@@ -55,6 +55,23 @@ def test_chains(spark, task_tokens):
     assert Counter(map(tuple, ngram_components(frame(spark, rows), task_tokens=task_tokens).collect())) == brute(rows)
 
 
+def test_many_clusters_in_one_candidate_component(spark):
+    """Texts made of shared passages: chains of candidates percolate though few pairs link; small tasks split hot shingles."""
+    rng = random.Random(8)
+    passages = [words(rng, 30, 10_000) for _ in range(12)]
+    rows = []
+    for i in range(150):
+        text = " ".join(rng.sample(passages, 4)) if i % 3 else rows[rng.randrange(i)][1] if i else passages[0]
+        parts = text.split(" ")
+        for _ in range(rng.randrange(3)):
+            parts[rng.randrange(len(parts))] = f"n{rng.randrange(99)}"
+        rows.append((i % 140, " ".join(parts), "en", "a"))
+    want = brute(rows)
+    assert len({c for _, _, c in want}) > 20
+    for task_tokens in (400, 3000):
+        assert Counter(map(tuple, ngram_components(frame(spark, rows), task_tokens=task_tokens).collect())) == want
+
+
 def test_frequent_shingles(spark, monkeypatch):
     from opsledger.llm import ngram_join
 
