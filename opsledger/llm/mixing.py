@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsledger.llm.common import WORD, cut, freeing_group, small_by_bytes
@@ -24,32 +24,43 @@ def _row_bytes() -> F.Column:
     return F.coalesce(F.octet_length("s"), F.lit(0)) + 100
 
 
+def ranked(table: DataFrame, column: str) -> DataFrame:
+    """A table of distinct values of a column with `rank`, 0 the smallest by code point, null last.
+
+    Ranges of values are sorted in parallel; the driver gets one count of rows for each range.
+    """
+    order = F.col(column).asc_nulls_last()
+    dealt = cut(table.repartitionByRange(order).sortWithinPartitions(order).withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    before, offsets = 0, []
+    for r in sorted(dealt.groupBy("__range").count().collect()):
+        offsets.append((r["__range"], before))
+        before += r["count"]
+    starts = table.sparkSession.createDataFrame(offsets, "__range int, __before long")
+    return dealt.join(F.broadcast(starts), "__range").withColumn("rank", F.col("__before") + F.col("__at")).drop("__range", "__at", "__before")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float = MOST) -> DataFrame:
     """(source, source_size, target): weights repeat over the sources by code point, null last.
 
     The sources share `share` of all sizes by weight; a target stops at `most` times its source's size, and the excess
-    is reshared by weight among the others until none is above. Water filling in closed form: in ascending order of
-    capacity per weight, a source is full if the budget left per weight left reaches its own. A table of sources, one
-    row each, is sorted twice; documents are only summed.
+    is reshared by weight among the others until none is above. Each round sums, over the table of sources, what full
+    sources take and what the others weigh, which gives the level, the target of a source of weight 1; it rises until
+    no further source is full. Only these sums reach the driver, and nothing is sorted in one task.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    weighted = totals.withColumn("weight", F.element_at(cycle, (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int"))).withColumn("room", most * F.col("source_size"))
-    order = Window.orderBy((F.col("room") / F.col("weight")), F.col("source").asc_nulls_last())
-    whole = Window.partitionBy()
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    level = weighted.withColumns({
-        "used": F.coalesce(F.sum("room").over(before), F.lit(0.0)), "left": F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-        "budget": share * F.sum("source_size").over(whole),
-    })
-    full = F.col("room") <= (F.col("budget") - F.col("used")) / F.col("left") * F.col("weight")
-    marked = level.withColumn("full", full).withColumns({
-        "full_room": F.coalesce(F.sum(F.when(F.col("full"), F.col("room"))).over(whole), F.lit(0.0)),
-        "open_weight": F.sum(F.when(~F.col("full"), F.col("weight"))).over(whole),
-    })
-    target = F.when(F.col("full"), F.col("room")).otherwise((F.col("budget") - F.col("full_room")) * F.col("weight") / F.col("open_weight"))
-    return marked.select("source", "source_size", F.least(target, "room").alias("target"))
+    weight = F.element_at(cycle, (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    weighted = cut(ranked(totals, "source").withColumn("weight", weight).withColumn("room", most * F.col("source_size")).drop("rank"))
+    exact = "decimal(38,6)"
+    budget = float(share * (weighted.agg(F.sum("source_size")).first()[0] or 0))
+    level, full = 0.0, -1
+    while True:
+        held = F.col("room") <= level * F.col("weight")
+        now = weighted.agg(F.count_if(held), F.sum(F.when(held, F.col("room").cast(exact))), F.sum(F.when(~held, F.col("weight").cast(exact)))).first()
+        if now[0] == full or now[2] is None:
+            break
+        full, level = now[0], max(level, (budget - float(now[1] or 0)) / float(now[2]))
+    return weighted.select("source", "source_size", F.least(level * F.col("weight"), "room").alias("target"))
 
 
 def tilts(histogram: DataFrame, targets: DataFrame, most: float = MOST) -> DataFrame:
@@ -99,17 +110,20 @@ def _round(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(copies=copies)[["row", "copies"]]
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = MOST) -> DataFrame:
-    """(id, size, source, source_size, target, rate, copies): how often the mix takes each document.
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = MOST, row_col: str | None = None) -> DataFrame:
+    """(id, size, source, source_size, target, rate, copies): how often the mix takes each document; with row_col, a
+    long, that as `key` too.
 
     Sizes are counted in words of the whole text, null as 0. Rates come from the entropy balance; blocks of about
     BLOCK documents of one source, dealt by a hash of the row, are rounded longest first with the error carried on, so
     a block misses its tokens by about half its shortest document. Copies are 0 to `most`. Null sources are a source;
-    documents of size 0 get one copy, which takes nothing. Rows that repeat are documents of their own. Ties are dealt
-    by the row's hash, and all sums are exact, so that reruns on the same files agree. An empty table gives no rows.
+    documents of size 0 get one copy, which takes nothing. Rows that repeat are documents of their own; a block that
+    they crowd (or null ids of one size) is cut into several by row. Ties are dealt by the row's hash, and all sums are
+    exact, so that reruns on the same files agree. An empty table gives no rows.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")))
+    key = F.lit(None).cast("long") if row_col is None else F.col(row_col)
+    sized = cut(docs.select(F.col(id_col).alias("id"), key.alias("key"), F.col(source_col).alias("source"), size.alias("size")))
     targets = cut(source_targets(sized, weights, share, most))
     histogram = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     found = tilts(histogram, targets, most)
@@ -122,6 +136,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
         "rate": F.round(rate, 9), "row": F.monotonically_increasing_id(),
         "block": F.pmod(F.xxhash64("id", "size"), F.ceil(F.col("docs") / BLOCK)),
     }))
+    crowded = cut(rated.groupBy("source", "block").agg(F.count("*").alias("rows")).where(F.col("rows") > 4 * BLOCK).withColumnsRenamed({"source": "s", "block": "b"}))
     fine = rated.select("id", "source", "block", "size", "rate", "row")
-    copies = fine.groupBy("source", "block").applyInPandas(freeing_group(_round), "row long, copies long")
-    return rated.join(copies, "row").select(F.col("id").alias(id_col), "size", "source", "source_size", "target", "rate", "copies")
+    fine = fine.join(small_by_bytes(crowded, _row_bytes()), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
+    parts = F.coalesce(F.ceil(F.col("rows") / BLOCK), F.lit(1))
+    fine = fine.withColumn("part", F.pmod(F.xxhash64("row"), parts)).drop("s", "b", "rows")
+    copies = fine.groupBy("source", "block", "part").applyInPandas(freeing_group(_round), "row long, copies long")
+    return rated.join(copies, "row").select(F.col("id").alias(id_col), *["key"][: row_col is not None], "size", "source", "source_size", "target", "rate", "copies")

@@ -1,5 +1,6 @@
 """Mixing: targets, closeness, reruns; URL filters over redirects."""
 
+import math
 import re
 
 from opsledger.llm.mixing import mix
@@ -36,12 +37,41 @@ def test_mix(spark, none):
         taken[r.source] += r.copies * r.size
     for s in sizes:
         assert abs(taken[s] - want[s]) <= max(5, 0.01 * want[s]), (s, taken[s], want[s])
+    for source in sizes:  # the rates are those of an independent solution of the dual
+        own = [r for r in got if r.source == source and r.size]
+        if 0 < want[source] < 2 * sizes[source] * (1 - 1e-9):
+            low, high = -60.0, 1.0
+            for _ in range(200):
+                tilt = (low + high) / 2
+                low, high = (tilt, high) if sum(min(2, math.exp(tilt * r.size)) * r.size for r in own) < want[source] else (low, tilt)
+            assert all(abs(r.rate - min(2, math.exp(tilt * r.size))) < 1e-5 for r in own)
+        else:
+            assert all(r.rate == 2 for r in own)
+    assert all(r.copies in (math.floor(r.rate), math.ceil(r.rate)) for r in got)
     again = mix(frame(spark, rows[::-1])).collect()
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.copies)
     assert [tuple(r) for r in sorted(again, key=key)] == [tuple(r) for r in sorted(got, key=key)]
     assert mix(none).count() == 0
 
 
+def test_crowded_blocks_and_many_sources(spark, monkeypatch):
+    from opsledger.llm import mixing
+
+    monkeypatch.setattr(mixing, "BLOCK", 20)
+    rows = [(5, "a b c", "en", "hot")] * 400 + [(None, "a b", "en", "hot")] * 300 + [(i, words(random.Random(i), 1 + i % 9), "en", f"s{i % 150:03d}") for i in range(900)]
+    docs = frame(spark, rows)
+    got = mix(docs).collect()
+    sizes = {}
+    for _, text, _, source in rows:
+        sizes[source] = sizes.get(source, 0) + len(text.split())
+    want, taken = targets(sizes), dict.fromkeys(sizes, 0)
+    for r in got:
+        assert abs(r.target - want[r.source]) < 1e-3
+        taken[r.source] += r.copies * r.size
+    assert len(got) == len(rows) and abs(taken["hot"] - want["hot"]) <= 0.03 * want["hot"]
+    assert all(abs(taken[s] - want[s]) <= 9 for s in sizes if s != "hot")
+
+
 LINK = '<html><head><link href="{}" REL=canonical></head>'
 JUMP = "<meta http-equiv='Refresh' content='0; url={}'>"
 PAGES = [
