@@ -1,8 +1,11 @@
 """The corpus pipeline: from documents to token files, each stage on all that the one before it kept.
 
-Documents the quality classifier rejects go; of each group of near copies (and exact ones) the document with the
-smallest id stays; documents that hold a benchmark item go; the rest are mixed to source weights, a document standing
-as often as the mix takes it; the last stage writes token files and returns what they hold.
+Documents the quality classifier rejects go; of each group of near copies (and exact ones) one document stays, that with
+the smallest id; documents that hold a benchmark item go; the rest are mixed to source weights, a document standing as
+often as the mix takes it; the last stage writes token files and returns what they hold.
+
+Stages know documents by row, not by id: rows that share an id, or have none, are documents of their own, each with its
+own verdict. The number of a row is its place in the files that the stage reads.
 """
 
 from __future__ import annotations
@@ -11,7 +14,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsledger.llm.common import cut, fresh, scratch, small
+from opsledger.llm import bloom
+from opsledger.llm.common import cut, fresh, numbered, remove, scratch, small
 from opsledger.llm.decontaminate import decontaminate
 from opsledger.llm.kneser_ney import classify
 from opsledger.llm.mixing import mix
@@ -21,37 +25,41 @@ from opsledger.llm.tokens import encode_documents, token_digests
 TOKENIZER = "word_bpe_49k.json"
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the ids of the one column of `gone`; broadcast where they are few."""
-    name, = fresh(docs, "gone")
-    return docs.join(small(cut(gone.toDF(name).distinct()), 24), F.col("doc_id") == F.col(name), "left_anti")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with the numbers of their rows, and the name of that column."""
+    row, = fresh(docs, "pipeline_row")
+    return numbered(docs, row), row
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the classifier rejects: perplexity above its language's threshold, or no words at all."""
-    judged = classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, judged.where("not accepted").select("doc_id"))
+    """Drop the rows that the classifier rejects: perplexity above its language's threshold, or no words at all."""
+    rows, row = _numbered(docs)
+    judged = classify(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col=row)
+    return bloom.without(rows, row, judged.where("not accepted").select("row")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component; rows that share that id stay all."""
-    joined = ngram_components(docs)
-    return _without(docs, joined.where("doc_id <> component_id").select("doc_id"))
+    """Keep one row of each component: that with the smallest id, a null id last; of equal ids the first in the files."""
+    rows, row = _numbered(docs)
+    found = cut(ngram_components(rows, id_col=row).where("doc_id <> component_id").select(F.col("doc_id").alias("r"), F.col("component_id").alias("c")))
+    members = found.unionByName(found.select(F.col("c").alias("r"), "c").distinct())
+    ids = rows.select(row, F.col("doc_id").alias("id")).join(small(cut(members), 24), F.col(row) == F.col("r"))
+    best = cut(ids.groupBy("c").agg(F.min(F.struct(F.col("id").isNull(), "id", "r"))["r"].alias("best")))
+    gone = members.join(small(best, 24), "c").where("r <> best").select("r")
+    return bloom.without(rows, row, gone).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop rows whose text holds a benchmark item."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or drop documents as the mix takes them; copies are rows alike, with the columns of documents.
-
-    Rows that share an id are taken alike, as the most taken of them; rows of a null id once.
-    """
-    key, n, k = fresh(docs, "key", "n", "k")
-    copies = mix(docs).where("copies <> 1").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(n))
-    taken = docs.join(small(cut(copies), 32), F.col("doc_id") == F.col(key), "left").withColumn(n, F.coalesce(n, F.lit(1)).cast("int"))
+    """Repeat or drop each row as the mix takes it; copies are rows alike, with the columns of documents."""
+    rows, row = _numbered(docs)
+    key, n, k = fresh(rows, "key", "n", "k")
+    copies = mix(rows, row_col=row).where("copies <> 1").select(F.col("key").alias(key), F.col("copies").cast("int").alias(n))
+    taken = rows.join(small(cut(copies), 24), F.col(row) == F.col(key), "left").withColumn(n, F.coalesce(n, F.lit(1)))
     return taken.where(F.col(n) > 0).withColumn(k, F.explode(F.array_repeat(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
@@ -67,10 +75,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each one's rows written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents, each one's rows written as Parquet and read again; only the token files stay."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = scratch(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, before)
+    return out
