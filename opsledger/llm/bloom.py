@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsledger.llm.common import cut, fresh, small
+
 #: Bits of one piece of a filter, as bitmap_construct_agg makes them; what a piece takes when it is broadcast.
 PIECE_BITS, PIECE_BYTES = 32768, 4096
 #: Bits of a filter for each hash, and of one that is broadcast at most (64 MiB).
@@ -53,3 +55,20 @@ def tested(spotted: DataFrame, filter_: DataFrame, name: str) -> DataFrame:
 
     met = spotted.join(F.broadcast(filter_), "__piece", "left")
     return met.withColumn(name, F.coalesce(is_set("__a") & is_set("__b"), F.lit(False))).drop("__piece", "__a", "__b", "__bits")
+
+
+def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose key (long, never null) is in the one column of gone.
+
+    The keys are broadcast where they are few; else a Bloom filter of them is, and only rows that it lets through are
+    shuffled to the keys, while the others pass.
+    """
+    name, may = fresh(docs, "gone", "may")
+    gone = cut(gone.toDF(name).distinct())
+    marked = small(gone, 24)
+    if marked is not gone:
+        return docs.join(marked, F.col(key) == F.col(name), "left_anti")
+    pieces = pieces_for(gone.count())
+    flagged = tested(spots(docs, F.xxhash64(key), pieces), once(spots(gone, F.xxhash64(name), pieces)), may)
+    doubtful = flagged.where(may).join(gone, F.col(key) == F.col(name), "left_anti")
+    return doubtful.unionByName(flagged.where(~F.col(may))).drop(may)

@@ -21,6 +21,8 @@ RANGE_BYTES = 12 << 20
 FREQUENT, FREQUENT_CLASS = 64, 255
 #: Tokens that one trie task stores, and what a document weighs besides its tokens.
 TASK_TOKENS, DOC_WEIGHT = 32_000, 64
+#: What a token costs that goes to the task of a prefix shingle, against one that goes to a pair of blocks.
+COPY_COST = 1.0
 POSTINGS, META = 0, 1
 SETS = "doc_id long, n long, k1 long, k2 long, prefix array<long>, tokens binary"
 
@@ -185,10 +187,11 @@ def similar_links(sets: DataFrame, task_tokens: int = TASK_TOKENS) -> DataFrame:
 
     Sets that share a prefix shingle are candidates; chains of candidates form components. A component of up to
     task_tokens tokens is one trie's work. In a larger one, first a part of it is stored in one trie and probed by all,
-    which joins what copies it mostly consists of; what is then outside the largest group found is open, and every open
-    document meets all that share a prefix shingle with it: documents go to the tasks of their prefix shingles, and a
-    shingle's documents meet in one task, or, if it is hot, in blocks of the shingle's own. Tasks return no more links
-    than connect their documents, and the rows moved grow with the documents and the lengths of their prefixes.
+    which joins what copies it mostly consists of; what is then outside the largest group found is open. Open documents
+    meet all others of their component in pairs of blocks, as long as that moves fewer tokens than the other way, by
+    which tokens moved grow with the documents and not with the component: every document goes to the tasks of its
+    prefix shingles, and a shingle's documents meet in one task, or, if it is hot, in blocks of the shingle's own. Tasks
+    return no more links than connect their documents.
     """
     spark = sets.sparkSession
     near = sets.where(F.size("prefix") > 0).where("doc_id is not null")
@@ -196,7 +199,7 @@ def similar_links(sets: DataFrame, task_tokens: int = TASK_TOKENS) -> DataFrame:
     hubs = prefix.groupBy("token").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far")).where("hub <> far").drop("far")
     chains = prefix.join(hubs, "token").where("doc_id <> hub").select("doc_id", "hub").distinct()
     members = connected_components(chains, "doc_id", "hub").withColumnsRenamed({"node": "doc_id", "component": "comp"})
-    placed = cut(near.select("doc_id", "n", "k1", "k2", "prefix", "tokens").join(members, "doc_id"))
+    placed = cut(near.select("doc_id", "n", "k1", "k2", F.size("prefix").alias("p"), "tokens").join(members, "doc_id"))
     weights = cut(placed.groupBy("comp").agg(F.sum(_weight()).alias("weight")))
     large = cut(weights.where(F.col("weight") > task_tokens))
     tasks = pieces(spark, weights.agg(F.sum("weight")).first()[0] or 0, task_tokens, task_tokens // 8 + 1)
@@ -206,7 +209,7 @@ def similar_links(sets: DataFrame, task_tokens: int = TASK_TOKENS) -> DataFrame:
         return cut(links)
     many = placed.join(small(large, 32), "comp").withColumn("blocks", F.ceil(F.col("weight") / task_tokens).cast("long"))
     links = cut(links.unionByName(_probe_leaders(many)))
-    return cut(links.unionByName(_join_open(many.drop("weight", "blocks"), links, task_tokens)))
+    return cut(links.unionByName(_join_open(many.drop("weight", "blocks"), near, links, task_tokens)))
 
 
 def _probe_leaders(many: DataFrame) -> DataFrame:
@@ -218,30 +221,44 @@ def _probe_leaders(many: DataFrame) -> DataFrame:
     return leaders.select(*cols).unionByName(probes.select(*cols)).groupBy("comp", "j").applyInArrow(freeing_group(_between), LINKS)
 
 
-def _join_open(many: DataFrame, links: DataFrame, task_tokens: int) -> DataFrame:
-    """Links of the documents outside each component's largest group with all that share a prefix shingle with them."""
+def _paired(rows: DataFrame, by: str) -> DataFrame:
+    """Rows of (by, i, j): each stored block i, of open documents, with each probing block j, by replicating rows."""
+    at, each = lambda n: F.pmod(F.xxhash64("doc_id", "k1"), F.col(n)), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    cols = [by, "i", "j", "doc_id", "k1", "k2"]
+    stored = rows.where("open").withColumn("i", at("open_blocks")).withColumn("j", each("all_blocks")).select(*cols, F.lit(True).alias("stored"), F.lit(False).alias("probing"))
+    probes = rows.withColumn("j", at("all_blocks")).withColumn("i", each("open_blocks")).select(*cols, F.lit(False).alias("stored"), F.lit(True).alias("probing"))
+    return stored.unionByName(probes)
+
+
+def _join_open(many: DataFrame, sets: DataFrame, links: DataFrame, task_tokens: int) -> DataFrame:
+    """Links of the documents outside each component's largest group with all of it that they may link with."""
+    spark, key = many.sparkSession, ["doc_id", "k1", "k2"]
     groups = connected_components(links, "src", "dst").withColumnsRenamed({"node": "doc_id", "component": "grp"})
-    known = many.join(groups, "doc_id", "left").withColumn("grp", F.coalesce("grp", "doc_id"))
-    known = cut(known.withColumns({"row": F.monotonically_increasing_id(), "w": _weight()}))
+    known = cut(many.select("comp", *key, "p", _weight().alias("w")).join(groups, "doc_id", "left").withColumn("grp", F.coalesce("grp", "doc_id")))
     most = known.groupBy("comp", "grp").agg(F.count("*").alias("size")).groupBy("comp").agg(F.max(F.struct("size", "grp")).alias("best")).select("comp", F.col("best.grp").alias("best"))
-    known = known.join(small(cut(most), 40), "comp").withColumn("open", F.col("grp") != F.col("best")).drop("grp", "best", "comp")
-    posts = cut(known.select("row", "open", "w", F.explode("prefix").alias("token")))
-    opened = F.sum(F.when(F.col("open"), F.col("w")).otherwise(0))
-    met = cut(posts.groupBy("token").agg(F.count("*").alias("docs"), F.sum("w").alias("all_w"), opened.alias("open_w")).where("docs > 1 and open_w > 0").drop("docs"))
-    spark, rows = posts.sparkSession, known.select("row", "doc_id", "n", "tokens", F.col("open").alias("stored"), F.lit(True).alias("probing"))
-    cold, hot = met.where(F.col("all_w") <= task_tokens), cut(met.where(F.col("all_w") > task_tokens))
+    known = known.join(small(cut(most), 40), "comp").withColumn("open", F.col("grp") != F.col("best")).drop("grp", "best")
+    opened, blocks = F.sum(F.when(F.col("open"), F.col("w")).otherwise(0)), lambda w: F.ceil(F.col(w) / task_tokens).cast("long")
+    sums = known.groupBy("comp").agg(opened.alias("open_w"), F.sum("w").alias("all_w"), F.sum(F.col("p") * F.col("w")).alias("copies_w")).where("open_w > 0")
+    sums = sums.withColumns({"open_blocks": blocks("open_w"), "all_blocks": blocks("all_w")})
+    sums = cut(sums.withColumn("in_pairs", F.col("open_blocks") * F.col("all_w") + F.col("all_blocks") * F.col("open_w") <= COPY_COST * F.col("copies_w")))
+    found = None
+    if sums.where("in_pairs").limit(1).count():
+        found = _paired(known.join(small(sums.where("in_pairs").select("comp", "open_blocks", "all_blocks"), 40), "comp"), "comp")
+        found = found.join(many.select(*key, "n", "tokens"), key).groupBy("comp", "i", "j").applyInArrow(freeing_group(_between), LINKS)
+    if not sums.where("not in_pairs").limit(1).count():
+        return spark.createDataFrame([], LINKS) if found is None else found
+    wide = cut(known.join(small(sums.where("not in_pairs").select("comp"), 16), "comp").select(*key, "w", "open"))
+    posts = cut(wide.join(sets.select(*key, F.explode("prefix").alias("token")), key))
+    met = posts.groupBy("token").agg(F.count("*").alias("docs"), F.sum("w").alias("all_w"), opened.alias("open_w")).where("docs > 1 and open_w > 0")
+    met = cut(met.select("token", "all_w", blocks("open_w").alias("open_blocks"), blocks("all_w").alias("all_blocks")))
+    cold, hot = met.where("all_blocks = 1"), met.where("all_blocks > 1")
     tasks = pieces(spark, cold.agg(F.sum("all_w")).first()[0] or 0, task_tokens, task_tokens // 8 + 1)
-    dealt = posts.join(small(cut(cold), 40), "token").select("row", F.pmod(F.xxhash64("token"), F.lit(tasks)).alias("task")).distinct()
-    found = dealt.join(rows, "row").groupBy("task").applyInArrow(freeing_group(_between), LINKS)
+    dealt = posts.join(small(cold, 40), "token").select(*key, F.col("open").alias("stored"), F.lit(True).alias("probing"), F.pmod(F.xxhash64("token"), F.lit(tasks)).alias("task")).distinct()
+    cold_links = dealt.join(many.select(*key, "n", "tokens"), key).groupBy("task").applyInArrow(freeing_group(_between), LINKS)
+    found = cold_links if found is None else found.unionByName(cold_links)
     if not hot.limit(1).count():
         return found
-    blocks = lambda w: F.ceil(F.col(w) / task_tokens).cast("long")
-    own = posts.join(small(hot, 40), "token").withColumns({"is": blocks("open_w"), "js": blocks("all_w")})
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    at = lambda n: F.pmod(F.xxhash64("row"), F.col(n))
-    stored = own.where("open").withColumn("i", at("is")).withColumn("j", each("js")).select("token", "i", "j", "row", F.lit(True).alias("stored"), F.lit(False).alias("probing"))
-    probes = own.withColumn("j", at("js")).withColumn("i", each("is")).select("token", "i", "j", "row", F.lit(False).alias("stored"), F.lit(True).alias("probing"))
-    pairs = stored.unionByName(probes).join(rows.drop("stored", "probing"), "row")
+    pairs = _paired(posts.join(small(hot, 40), "token"), "token").join(many.select(*key, "n", "tokens"), key)
     return found.unionByName(pairs.groupBy("token", "i", "j").applyInArrow(freeing_group(_between), LINKS))
 
 

@@ -55,8 +55,12 @@ def test_chains(spark, task_tokens):
     assert Counter(map(tuple, ngram_components(frame(spark, rows), task_tokens=task_tokens).collect())) == brute(rows)
 
 
-def test_many_clusters_in_one_candidate_component(spark):
+@pytest.mark.parametrize("copy_cost", [0.0, 1.0, 1e9])
+def test_many_clusters_in_one_candidate_component(spark, monkeypatch, copy_cost):
     """Texts made of shared passages: chains of candidates percolate though few pairs link; small tasks split hot shingles."""
+    from opsledger.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "COPY_COST", copy_cost)
     rng = random.Random(8)
     passages = [words(rng, 30, 10_000) for _ in range(12)]
     rows = []

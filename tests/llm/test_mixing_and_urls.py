@@ -96,3 +96,27 @@ def test_urls(spark):
     assert told[11] == ("example.org", "/es/1", "org/es/", "block") and told[12][3] == "allow" and told[13][2] == "com/en/" and told[14][3] == "allow"
     assert told[15][3] == told[16][3] == "block" and told[None][3] == "block" and told[17][3] == "allow"
     assert filter_urls(pages.limit(0)).count() == 0
+
+
+def test_links_that_are_canonical_and_those_that_are_not(spark):
+    from opsledger.llm.url_filter import alias_edges
+
+    tags = ["<link rel=canonical href=http://a.test/1>", "<LINK href='http://a.test/1' rel='alternate Canonical'/>", '<link rel="canonical alternate" href="http://a.test/1">', "<link\nrel = canonical\nhref=http://a.test/1>",
+            '<link data-rel="canonical" href="http://a.test/1">', '<link rel="non-canonical" href="http://a.test/1">', '<link rel="canonical" data-href="http://a.test/1">', "<link rel=canonicals href=http://a.test/1>", "<meta data-http-equiv=refresh content='0; url=http://a.test/1'>"]
+    pages = spark.createDataFrame([(i, f"http://own.test/{i}", x) for i, x in enumerate(tags)], "page_id bigint, url string, html string")
+    assert sorted((r.src, r.dst) for r in alias_edges(pages).collect()) == [(f"own.test/{i}", "a.test/1") for i in range(4)]
+
+
+def test_urls_of_long_pages_with_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    filler = "<p>canonical text and more of it</p>" * 60_000
+    rows = [(1, "http://x.test/1", filler + LINK.format("http://net/de/") + filler), (2, "http://net/de/", filler), (3, "http://y.test/" + "z" * 100_000, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({c: F.lit("1") for c in ("id", "host", "path", "rule", "verdict", "node", "alias", "tag", "src", "dst", "component", "__host", "__tail")})
+    assert {r.page_id: r.verdict for r in filter_urls(pages).collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
+def test_mix_of_a_very_long_text(spark):
+    rows = [(1, "w " * 500_000, "en", "a"), *((i, "a b c", "en", "ab"[i % 2]) for i in range(2, 300))]
+    got = {r.doc_id: r for r in mix(frame(spark, rows)).collect()}
+    assert got[1].size == 500_000 and got[1].source_size == 500_000 + 149 * 3
