@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsledger.llm import bloom
-from opsledger.llm.common import cut, fits_broadcast, fresh, remove, scratch, small_batches, small_by_bytes
+from opsledger.llm.common import cut, fresh, remove, scratch, small_batches, small_by_bytes
 
 #: A place of runs of their own widths: first unit * PLACE + width, which is below PLACE.
 PLACE = 1 << 10
@@ -24,24 +24,22 @@ def covered_intervals(runs: DataFrame, width: int | None) -> DataFrame:
 
     runs: id and key, which name a document (rows alike in both are one), pos (the run's first unit) and h1, h2 (two
     hashes of its text), one row per run of `width` units; without a width pos is a place as of PLACE, and equal runs
-    are as wide. Of equal runs the one with the smallest (id, pos, key) is the first and covers nothing.
+    are as wide. Of equal runs the one with the smallest (id, pos) is the first and covers nothing (each of them, if
+    several texts of one id have it there).
 
     Runs are made once and written to the shared folder, in columns, until all is found. Their groups are aggregated
-    before a shuffle. The groups of two runs or more are broadcast to the runs where they are few; else a Bloom filter
-    of them is, and only runs that it lets through shuffle, in a join that Spark may split where a run is hot.
+    before a shuffle; a Bloom filter of the groups of two runs or more is broadcast, and only runs that it lets through
+    meet their groups, in a join that Spark may split where a run is hot.
     """
     spark, path = runs.sparkSession, scratch(runs.sparkSession, "runs")
     with small_batches(spark):
         runs.write.option("compression", "zstd").parquet(path)
     runs = spark.read.schema(runs.schema).parquet(path)
-    place = F.struct("id", "pos", "key")
-    first = cut(runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last"))
-    if fits_broadcast(first, ROW_BYTES):
-        met = runs.join(F.broadcast(first), ["h1", "h2"])
-    else:
-        pieces = bloom.pieces_for(first.count())
-        filter_ = bloom.once(bloom.spots(first, F.col("h1"), pieces))
-        met = bloom.tested(bloom.spots(runs, F.col("h1"), pieces), filter_, "__may").where("__may").drop("__may").join(first, ["h1", "h2"])
+    place = F.struct("id", "pos")
+    first = cut(runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    pieces = bloom.pieces_for(first.count())
+    filter_ = bloom.once(bloom.spots(first, F.col("h1"), pieces))
+    met = bloom.tested(bloom.spots(runs, F.col("h1"), pieces), filter_, "__may").where("__may").drop("__may").join(first, ["h1", "h2"])
     later = met.where(place != F.col("first")).select("id", "key", "pos").distinct()
     own = Window.partitionBy("id", "key").orderBy("pos")
     start, end = (F.col("pos"), F.col("pos") + width) if width is not None else (F.shiftright("pos", PLACE.bit_length() - 1), None)

@@ -70,7 +70,7 @@ def removed_lines(rows, width=3):
         for i in range(len(lines) - width + 1):
             run = tuple(lines[i : i + width])
             if any(x.strip(" ") for x in run):
-                seen.setdefault(run, set()).add((k is not None, k or 0, i, text))
+                seen.setdefault(run, set()).add((k is not None, k or 0, i))
     out = Counter()
     for k, text in rows:
         if text is None:
@@ -79,7 +79,7 @@ def removed_lines(rows, width=3):
         lines, gone = text.split("\n"), set()
         for i in range(len(lines) - width + 1):
             run = tuple(lines[i : i + width])
-            if run in seen and min(seen[run]) != (k is not None, k or 0, i, text):
+            if run in seen and min(seen[run]) != (k is not None, k or 0, i):
                 gone.update(range(i, i + width))
         out[(k, "\n".join(x for i, x in enumerate(lines) if i not in gone))] += 1
     return out
@@ -99,7 +99,6 @@ def test_lines(spark):
 def test_lines_where_nothing_is_broadcast(spark, monkeypatch):
     from opsledger.llm import spans
 
-    monkeypatch.setattr(spans, "fits_broadcast", lambda *x: False)
     monkeypatch.setattr(spans, "small_by_bytes", lambda df, *x: df)
     test_lines(spark)
 
@@ -161,8 +160,7 @@ def cleaned(rows):
     """What is left of each (id, text), by the definition: every span but the first of equal ones covers its words."""
     from opsledger.llm import sentence_dedup as module
 
-    place, seen = lambda k, a, b, key: (k is not None, k or 0, a * module.PLACE + b - a, key), {}
-    keys = {t: i for i, t in enumerate(sorted({t for _, t in rows if t is not None}))}
+    place, seen = lambda k, a, b: (k is not None, k or 0, a * module.PLACE + b - a), {}
     found = []
     for k, text in rows:
         own, words = [], []
@@ -171,10 +169,10 @@ def cleaned(rows):
             own = [(a, b, " ".join(words[a:b])) for a, b in module.spans(ends, places)]
         found.append((words, own))
         for a, b, run in own:
-            seen.setdefault(run, set()).add(place(k, a, b, keys[text]))
+            seen.setdefault(run, set()).add(place(k, a, b))
     out = Counter()
     for (k, text), (words, own) in zip(rows, found):
-        gone = {i for a, b, run in own if min(seen[run])[:3] != place(k, a, b, 0)[:3] for i in range(a, b)}
+        gone = {i for a, b, run in own if min(seen[run]) != place(k, a, b) for i in range(a, b)}
         out[(k, None if text is None else tuple(w for i, w in enumerate(words) if i not in gone))] += 1
     return out
 
@@ -195,7 +193,6 @@ def test_sentences_by_the_definition(spark, monkeypatch):
         return Counter((r.doc_id, None if r.text is None else tuple(r.text.split())) for r in sentence_dedup(docs).collect())
 
     assert got() == want
-    monkeypatch.setattr(spans, "fits_broadcast", lambda *x: False)
     monkeypatch.setattr(spans, "small_by_bytes", lambda df, *x: df)
     assert got() == want
     assert sentence_dedup(docs.limit(0)).count() == 0
