@@ -67,10 +67,21 @@ def retry_delay_ms(attempt: Column) -> Column:
     return F.when(attempt < 10, 300).when(attempt < 20, 500).otherwise(1000)
 
 
-def recovery_action(exception: Column, message: Column, io_errors: Sequence[str] = ("IOException", "FileNotFoundException", "SocketException", "SocketTimeoutException", "ConnectException", "EOFException")) -> Column:
+# The standard classes of input and output exceptions, without their packages.
+IO_ERRORS = (
+    "IOException", "FileNotFoundException", "EOFException", "InterruptedIOException", "UTFDataFormatException", "UnsupportedEncodingException", "CharConversionException", "SyncFailedException",
+    "ObjectStreamException", "InvalidClassException", "NotSerializableException", "StreamCorruptedException", "SocketException", "SocketTimeoutException", "ConnectException",
+    "BindException", "NoRouteToHostException", "PortUnreachableException", "UnknownHostException", "UnknownServiceException", "ProtocolException", "MalformedURLException", "HttpRetryException",
+    "SSLException", "SSLHandshakeException", "SSLKeyException", "SSLPeerUnverifiedException", "SSLProtocolException", "ZipException", "JarException", "FileSystemException", "AccessDeniedException",
+    "NoSuchFileException", "FileAlreadyExistsException", "DirectoryNotEmptyException", "NotDirectoryException", "AtomicMoveNotSupportedException", "FileSystemLoopException", "ClosedChannelException",
+    "AsynchronousCloseException", "ClosedByInterruptException", "CharacterCodingException", "MalformedInputException", "UnmappableCharacterException",
+)
+
+
+def recovery_action(exception: Column, message: Column, io_errors: Sequence[str] = IO_ERRORS) -> Column:
     """clear_cache, free_memory, ask_permission or none, by an exception's class, then by its message.
 
-    Class names alone don't tell their ancestors, so the input and output exceptions are listed.
+    Class names alone don't tell their ancestors, so the input and output exceptions are listed; others can be added.
     """
     name = F.substring_index(exception, ".", -1)
     return (F.when(name.isin(list(io_errors)), "clear_cache").when(name == "OutOfMemoryError", "free_memory")
@@ -78,7 +89,10 @@ def recovery_action(exception: Column, message: Column, io_errors: Sequence[str]
 
 
 def start_failure(error: Column) -> Column:
-    """struct(title, message, button) of a failed start: a wrong password, another error, or none told."""
+    """struct(title, message, button) of a failed start: a wrong password, another error, or none told.
+
+    Titles and buttons are fixed values; the messages' sentences are our own.
+    """
     wrong = contains_any(error, ["password"])
     title = F.when(error.isNull(), "Server Start Failed").when(wrong, "Incorrect Password").otherwise("Server Error")
     text = (F.when(error.isNull(), "Could not reach the server. Change the repository?").when(wrong, "The repository password is incorrect. Try again?")
@@ -97,7 +111,7 @@ def password_problem(password: Column, confirmation: Column, existing: Column) -
             .when(F.length(password) < 8, "too_short").when(~password.eqNullSafe(confirmation), "mismatch"))
 
 
-#: Words that tell an input field for a path.
+# Words that tell an input field for a path.
 PATH_WORDS = ("path", "directory", "folder", "location", "repository", "snapshot", "config", "file", "source", "destination", "target")
 
 
@@ -117,7 +131,7 @@ def can_access(path: Column, own_dirs: Column, full_access: Column, found: Colum
 
 
 def access_text(full_access: Column, api_level: Column) -> Column:
-    """What to tell of file access, by grant and platform version."""
+    """What to tell of file access, by grant and platform version; the sentences are our own."""
     return (F.when(full_access, "Full filesystem access granted.").when(api_level >= 30, "Limited access. Grant all-files access to reach other folders.")
             .otherwise("Storage permissions required."))
 

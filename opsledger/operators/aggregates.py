@@ -52,3 +52,15 @@ def any_active(jobs: DataFrame, state: str = "state") -> DataFrame:
 def joined_names(rows: DataFrame, by: Sequence[str], column: str, separator: str = ", ") -> DataFrame:
     """An ordered join of a column's values for each key; for groups whose text fits a row."""
     return rows.groupBy(*by).agg(F.array_join(F.sort_array(F.collect_list(column)), separator).alias("names"))
+
+
+def workflow_results(steps: DataFrame) -> DataFrame:
+    """(workflow, success, message, details) of observed steps (workflow, step, ok, message).
+
+    A workflow passes if all its steps do (an unknown one fails); the message is that of its first failing step.
+    """
+    failed = ~F.coalesce("ok", F.lit(False))
+    first = F.min(F.when(failed, F.struct("step", "message")))["message"]
+    found = steps.groupBy("workflow").agg(F.count_if(failed).alias("failures"), first.alias("why"), F.count("*").alias("n"))
+    message = F.when(F.col("failures") == 0, "all steps passed").otherwise(F.coalesce("why", F.lit("failed")))
+    return found.select("workflow", (F.col("failures") == 0).alias("success"), message.alias("message"), F.concat(F.lit("Steps: "), F.col("n").cast("string")).alias("details"))

@@ -46,6 +46,13 @@ def schedule(log: DataFrame, store: str = "schedule") -> DataFrame:
     return read_typed(log, store, {"enabled": ("boolean", False), "interval_hours": ("bigint", 24), "require_charging": ("boolean", False), "require_wifi": ("boolean", False), "source_path": ("string", None)})
 
 
+def unique_schedules(asked: DataFrame, key: str = "job") -> DataFrame:
+    """One schedule a job: the last one asked for replaces all before it, whose number is `replaced`."""
+    rest = [c for c in asked.columns if c != key]
+    grouped = asked.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("ts", "seq")).alias("__row"), (F.count("*") - 1).alias("replaced"))
+    return grouped.select(key, "__row.*", "replaced")
+
+
 def redacted(rows: DataFrame, pattern: str = SECRET) -> DataFrame:
     """rows with secret values masked: what may leave the store."""
     return rows.withColumn("value", F.when(F.col("key").rlike(pattern), F.lit("***")).otherwise(F.col("value")))

@@ -12,10 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsledger.functions import numbers, rules, text, times
+from opsledger.functions import maps, numbers, rules, text, times
 from opsledger.operators import aggregates, keyvalue, relational
 from opsledger.plans import reports
-from opsledger.sources import other, settings
+from opsledger.sources import listing, other, settings
+from opsledger.sources.other import work_folder
+from opsledger.streaming import tail
 
 _queries: dict[str, Callable] = {}
 _sql: dict[str, str] = {}
@@ -72,14 +74,14 @@ SELECT count(*) AS candidates, CAST(coalesce(sum(CASE WHEN event_type <> 'view'
  CAST(coalesce(sum(CASE WHEN event_type <> 'view' THEN CAST(trunc(value) AS BIGINT) END), 0) // 1024 AS BIGINT) AS freed_kb
 FROM events, n WHERE ts < now - INTERVAL 24 HOUR AND event_type NOT LIKE '%purchase%' AND event_type NOT LIKE '%err%'""")
 def stale_candidates_summary(t):
-    now = F.lit(t.events.agg(F.max("ts")).first()[0])
+    now = t.events.agg(F.max("ts")).scalar()
     return aggregates.cleanup_totals(_files(t), now, ["purchase", "err"])
 
 
 @query("""WITH n AS (SELECT max(ts) AS now FROM events)
 SELECT event_id, event_type AS name FROM events, n WHERE ts < now - INTERVAL 48 HOUR AND event_type NOT LIKE '%click%'""")
 def stale_files(t):
-    now = F.lit(t.events.agg(F.max("ts")).first()[0])
+    now = t.events.agg(F.max("ts")).scalar()
     return relational.stale_files(_files(t), now, ["click"], 48).select("event_id", "name")
 
 
@@ -101,9 +103,11 @@ def log_filter(t):
     return relational.matching_lines(lines, ["the", "The end"]).select("doc_id", F.md5("value").alias("line"))
 
 
-@query("""SELECT event_id, key, props ->> key AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)""")
+@query("""SELECT event_id, key, CASE json_type(props, '$.' || key) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DOUBLE' THEN 'double' ELSE 'bigint' END AS type, props ->> key AS value
+FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)""")
 def settings_flatten(t):
-    return t.events.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+    doc = F.concat(F.lit('{"timestamp": 0, "appVersion": "", "settings": {"'), F.col("event_id").cast("string"), F.lit('": '), "props", F.lit("}}"))
+    return settings.parse(t.events.select(doc.alias("value"))).select(F.col("store").cast("bigint").alias("event_id"), "key", "type", "value")
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
@@ -210,20 +214,30 @@ def store_typed_read(t):
     return keyvalue.read_typed(_writes(t), "store1", {"click": ("bigint", 24), "no such key": ("bigint", 51515)}).select("click", F.col("no such key").alias("port"))
 
 
-@query("""WITH r AS (SELECT 'store' || user_id AS store, event_type AS key, CAST(CAST(trunc(value) AS BIGINT) AS VARCHAR) AS value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE user_id < 20)
-SELECT CAST(1700000000000 AS BIGINT) AS timestamp, '1.0' AS app_version, store, key, 'bigint' AS type, value FROM r WHERE k = 1 AND key <> 'error'""")
+#: The value of each key of each store that its last write left.
+LAST = """WITH r AS (SELECT 'store' || user_id AS store, event_type AS key, CAST(CAST(trunc(value) AS BIGINT) AS VARCHAR) AS value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events)"""
+
+
+@query(f"""{LAST} SELECT CAST(1700000000000 AS BIGINT) AS timestamp, '1.0' AS app_version, store, key, 'bigint' AS type, value FROM r WHERE k = 1 AND key <> 'error'""")
 def settings_round_trip(t):
-    rows = keyvalue.current(_writes(t)).where(F.col("store").isin([f"store{i}" for i in range(20)]))
-    return settings.parse(settings.to_json(rows, 1_700_000_000_000, "1.0"))
+    return settings.parse(settings.documents(keyvalue.current(_writes(t)), 1_700_000_000_000, "1.0"))
+
 
+@query(f"""{LAST} SELECT store, key, 'bigint' AS type, value, CAST(7 AS BIGINT) AS ts FROM r WHERE k = 1 AND key <> 'error' AND key <> 'purchase'""")
+def settings_restored(t):
+    """Exported to files with a key masked, read again and restored: a masked value is not written back."""
+    rows = keyvalue.redacted(keyvalue.current(_writes(t)), "purchase")
+    folder = settings.write_documents(rows, work_folder(t.spark), 1_700_000_000_000, "1.0")
+    return keyvalue.current(settings.restore(settings.read_documents(t.spark, folder), 7)).select("store", "key", "type", "value", "ts")
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 4 = 1 THEN CAST(event_id AS VARCHAR) ELSE 'x' END AS first_id, event_id % 4 IN (1, 2) AS parsed FROM events""")
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 1 THEN CAST(event_id AS VARCHAR) WHEN 2 THEN 'x' END AS first_id, event_id % 4 IN (1, 2) AS parsed FROM events""")
 def snapshot_lists(t):
+    """Output that holds more than the list is no list."""
     i = F.col("event_id")
     text_ = F.when(i % 4 == 1, F.concat(F.lit('[{"id":"'), i.cast("string"), F.lit('"}]'))).when(i % 4 == 2, '[{"id":"x"}]').when(i % 4 == 3, 'warning\n[{"id":"x"}]')
     rows = other.snapshots(t.events.select("event_id", text_.alias("output")))
-    first = F.when(i % 4 == 3, "x").otherwise(F.try_variant_get("snapshots", "$[0].id", "string"))
-    return rows.select("event_id", first.alias("first_id"), F.col("snapshots").isNotNull().alias("parsed"))
+    return rows.select("event_id", F.try_variant_get("snapshots", "$[0].id", "string").alias("first_id"), F.col("snapshots").isNotNull().alias("parsed"))
 
 
 @query("SELECT p_partkey, p_size % 3 = 1 AND p_size * 7 >= 56 AS valid FROM part")
@@ -237,7 +251,7 @@ def first_by_id(t):
     return relational.first_by_id(t.part, "p_partkey", 17, ["p_partkey"]).select("p_partkey", "p_name")
 
 
-@query("SELECT p_name AS _data FROM part WHERE p_partkey = 5 LIMIT 1")
+@query("SELECT min(p_name) AS _data FROM part WHERE p_partkey = 5 HAVING count(*) > 0")
 def lookup(t):
     return relational.lookup(t.part.select("p_partkey", F.col("p_name").alias("_data")), "p_partkey", 5)
 
@@ -308,10 +322,12 @@ def first_present(t):
     return relational.first_present(t.events.select("event_id", F.array(F.lit("a"), F.lit("b")).alias("wanted"), present.alias("there")), "event_id", "wanted", "there")
 
 
-@query("SELECT doc_id, contains(lower(left(text, 200)), 'path') OR contains(lower(left(text, 200)), 'directory') OR contains(lower(left(text, 200)), 'folder') OR contains(lower(left(text, 200)), 'location') OR contains(lower(left(text, 200)), 'repository') OR contains(lower(left(text, 200)), 'snapshot') OR contains(lower(left(text, 200)), 'config') OR contains(lower(left(text, 200)), 'file') OR contains(lower(left(text, 200)), 'source') OR contains(lower(left(text, 200)), 'destination') OR contains(lower(left(text, 200)), 'target') OR doc_id % 10 = 0 AS is_path FROM documents")
+@query("""SELECT doc_id, doc_id % 10 = 0 OR coalesce(list_bool_or([contains(lower(text), w) OR contains(lower(left(source, 100)), w)
+ FOR w IN ['path', 'directory', 'folder', 'location', 'repository', 'snapshot', 'config', 'file', 'source', 'destination', 'target']]), false) AS is_path FROM documents""")
 def path_inputs(t):
+    """A document's text stands for the field's own, its source for the text around it, which is cut."""
     value = F.when(F.col("doc_id") % 10 == 0, "/data/x").otherwise("plain")
-    return t.documents.select("doc_id", rules.path_input(value, text.head(F.col("text"), 200)).alias("is_path"))
+    return t.documents.select("doc_id", rules.path_input(value, F.col("text"), F.lit(" "), text.head(F.col("source"), 100)).alias("is_path"))
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN 'required' WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 9 < 8 THEN 'too_short' WHEN p_size % 2 = 0 THEN 'mismatch' END AS problem FROM part""")
@@ -391,3 +407,118 @@ def self_test_report(t):
 def error_details(t):
     errors = t.events.where("event_type = 'error'").select(F.col("event_id").cast("string").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"), F.lit("ERROR").alias("severity"), F.col("props").alias("message"), F.lit("E").alias("exception_class"), F.lit(None).cast("string").alias("cause"), F.array(F.lit("a"), F.lit("b")).alias("stack"))
     return reports.error_details(errors)
+
+
+def _tree(t: Tables) -> str:
+    """A folder with a sub-folder for each event type, which holds the ids as text files, and an empty hidden file."""
+    folder = work_folder(t.spark)
+    t.events.select(F.concat(F.lit("type-"), "event_type").alias("kind"), F.col("event_id").cast("string").alias("value")).write.partitionBy("kind").text(folder)
+    return folder
+
+
+@query("SELECT 'kind=type-' || event_type AS folder, CAST(sum(length(CAST(event_id AS VARCHAR)) + 1) AS BIGINT) AS bytes, true AS found FROM events GROUP BY 1")
+def listed_tree(t):
+    """Sizes by folder of a complete listing; files whose names begin with a dot count too, but not these checksums."""
+    files = listing.list_files(t.spark, _tree(t)).withColumn("folder", F.element_at(F.split("path", "/"), -2)).where("folder like 'kind=%'")
+    sizes = aggregates.tree_size(files.where(~F.col("name").endswith(".crc")).withColumn("root", F.col("folder")))
+    return sizes.select(F.col("root").alias("folder"), "bytes", (F.col("files") > 0).alias("found"))
+
+
+@query("SELECT DISTINCT 'kind=type-' || event_type AS name, true AS is_dir FROM events UNION ALL SELECT '_SUCCESS', false")
+def listed_level(t):
+    """One level of a folder, the names Spark itself leaves out with it."""
+    return listing.list_files(t.spark, _tree(t), recursive=False).where(~F.col("name").endswith(".crc")).select("name", "is_dir")
+
+
+@query("SELECT DISTINCT 'kind=type-' || event_type AS name FROM events WHERE event_type NOT LIKE '%err%' AND event_type NOT LIKE '%view%'")
+def deletions_proposed(t):
+    entries = listing.list_files(t.spark, _tree(t), recursive=False).where("is_dir")
+    return listing.deletion_candidates(entries, ["err", "view"]).select("name")
+
+
+@query("SELECT DISTINCT '/target/kind=type-' || event_type AS target_path, 'planned' AS status, true AS is_dir FROM events")
+def copy_plan(t):
+    found = listing.list_files(t.spark, _tree(t)).where("is_dir")
+    return listing.copy_manifest(found, "/target/").select("target_path", "status", "is_dir")
+
+
+@query("SELECT event_type || ' ' || event_id AS value FROM events WHERE event_type IN ('error', 'purchase')")
+def log_stream(t):
+    """Lines that arrive in a folder, filtered and collected by a stream until nothing is left."""
+    source, out, mark = (work_folder(t.spark) for _ in range(3))
+    t.events.select(F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("value")).write.text(source)
+    tail.collect_lines(tail.tail(t.spark, source, ["ERROR", "Purchase"]), out, mark).awaitTermination()
+    return t.spark.read.text(out)
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
+SELECT user_id, event_type, event_id FROM r WHERE k = 1""")
+def latest_stream(t):
+    """The newest event of each user, kept by a stream."""
+    source, out, mark = (work_folder(t.spark) for _ in range(3))
+    events = t.events.select("user_id", "event_type", "ts", "event_id")
+    events.write.parquet(source)
+    changes = t.spark.readStream.schema(events.schema).parquet(source)
+    tail.write_latest(tail.latest(changes, "user_id", "ts", "event_id"), out, mark).awaitTermination()
+    return t.spark.read.parquet(out).select("user_id", "event_type", "event_id")
+
+
+@query("""WITH r AS (SELECT 'job' || (user_id % 40) AS job, event_id, event_type, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts DESC, event_id DESC) AS k, count(*) OVER (PARTITION BY user_id % 40) AS n FROM events)
+SELECT job, event_id % 24 AS interval_hours, event_type <> 'error' AS active, n - 1 AS replaced FROM r WHERE k = 1""")
+def schedule_replaced(t):
+    """One schedule a job, the last one asked for."""
+    asked = t.events.select(F.concat(F.lit("job"), (F.col("user_id") % 40).cast("string")).alias("job"), (F.col("event_id") % 24).alias("interval_hours"), (F.col("event_type") != "error").alias("enabled"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("seq"))
+    return keyvalue.unique_schedules(asked).select("job", "interval_hours", F.col("enabled").alias("active"), "replaced")
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') || ' [ERROR] [' || event_id || '] ' || props AS line FROM events WHERE event_type = 'error'
+UNION ALL SELECT unnest(['Exception: E', '  at a', '  at b', '  at c', '  at d', '  at e', '']) FROM events WHERE event_type = 'error'""")
+def error_log_written(t):
+    """The lines of the error log, as its files hold them: of seven frames the first five."""
+    errors = t.events.where("event_type = 'error'").select(F.col("event_id").cast("string").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"), F.lit("ERROR").alias("severity"), F.col("props").alias("message"), F.lit("E").alias("exception_class"), F.array(*[F.lit(x) for x in "abcdefg"]).alias("stack"))
+    folder = work_folder(t.spark)
+    other.write_error_log(errors, folder)
+    return t.spark.read.text(folder).select(F.col("value").alias("line"))
+
+
+@query("""SELECT '{"name":"' || n_name || '","path":"/n/' || n_nationkey || '","description":"region ' || n_regionkey || '","alwaysAccessible":' || CASE WHEN n_nationkey % 3 = 0 THEN 'true' ELSE 'false' END || '}' AS value
+FROM nation WHERE n_nationkey % 3 = 0 OR n_nationkey % 2 = 0""")
+def folder_catalogue(t):
+    rows = t.nation.select(F.col("n_name").alias("name"), F.concat(F.lit("/n/"), F.col("n_nationkey").cast("string")).alias("path"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("description"), (F.col("n_nationkey") % 3 == 0).alias("always_accessible"), (F.col("n_nationkey") % 2 == 0).alias("available"))
+    return other.catalogue_lines(other.accessible(rows))
+
+
+@query("""SELECT '[' || string_agg('{"name":"' || r_name || '","path":"/r","description":"d","alwaysAccessible":true}', ',' ORDER BY r_name) || ']' AS value FROM region""")
+def folder_catalogue_document(t):
+    return other.catalogue_json(other.accessible(t.region.select(F.col("r_name").alias("name"), F.lit("/r").alias("path"), F.lit("d").alias("description"), F.lit(True).alias("always_accessible"), F.lit(True).alias("available"))))
+
+
+@query("""SELECT CAST(1 AS INTEGER) AS section_no, 'Test Results' AS section, n_name AS line_no, n_name || ': ' || CASE WHEN n_nationkey % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS line FROM nation
+UNION ALL SELECT CAST(101 AS INTEGER), 'Test Results', r_name, r_name || ': PASS  Note: ' || r_regionkey FROM region""")
+def combined_report(t):
+    first = reports.self_test_report(t.nation.select(F.col("n_name").alias("test"), (F.col("n_nationkey") % 2 == 0).alias("passed")), t.region.select(F.col("r_name").alias("test"), F.lit("x").alias("note")).limit(0))
+    second = reports.self_test_report(t.region.select(F.col("r_name").alias("test"), F.lit(True).alias("passed")), t.region.select(F.col("r_name").alias("test"), F.col("r_regionkey").cast("string").alias("note")))
+    return reports.combined(first, second)
+
+
+@query("""SELECT event_id, '[' || CASE WHEN event_id % 2 = 0 THEN 'kind=' || upper(event_type) || ',' ELSE '' END || 'id=' || event_id || ',password=***]' AS shown FROM events""")
+def map_values(t):
+    pairs = F.create_map(F.lit("id"), F.col("event_id").cast("string"), F.lit("kind"), F.when(F.col("event_id") % 2 == 0, F.upper("event_type")), F.lit("password"), F.col("event_type"))
+    shown = maps.sorted_text(maps.masked(maps.present(pairs)), order=["kind", "id", "password"])
+    return t.events.select("event_id", shown.alias("shown"))
+
+
+@query("""SELECT tag, CAST(trunc(avg(ms)) AS INTEGER) AS avg_ms, min(ms) AS min_ms, max(ms) AS max_ms, count(*) AS n
+FROM (SELECT event_type AS tag, CAST(trunc(value) AS BIGINT) AS ms FROM events UNION ALL SELECT 'started', unnest([3, 5, 9])) GROUP BY 1""")
+def measured_timings(t):
+    timings = t.events.select(F.col("event_type").alias("tag"), F.col("value").cast("bigint").alias("ms"))
+    return aggregates.timing_summary(aggregates.measured(timings, "started", [3, 5, 9]))
+
+
+@query("""WITH s AS (SELECT 'workflow ' || user_id AS workflow, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type <> 'error' ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+f AS (SELECT workflow, event_id FROM s WHERE event_type = 'error' AND k = 1)
+SELECT DISTINCT s.workflow, f.event_id IS NULL AS success, coalesce('failed at ' || f.event_id, 'all steps passed') AS message, 'Steps: ' || n AS details FROM s LEFT JOIN f USING (workflow)""")
+def workflows_validated(t):
+    """A workflow passes if all its steps do; its first failing step tells why not."""
+    steps = t.events.select(F.concat(F.lit("workflow "), F.col("user_id").cast("string")).alias("workflow"), F.col("event_id").alias("step"), (F.col("event_type") != "error").alias("ok"), F.concat(F.lit("failed at "), F.col("event_id").cast("string")).alias("message"))
+    return aggregates.workflow_results(steps)

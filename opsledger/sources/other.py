@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import subprocess
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsledger.functions.rules import elf_ok
@@ -38,15 +42,41 @@ def executables(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", elf_ok(F.col("content"), F.col("length")).alias("valid"))
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new path that driver and executors share: below spark.checkpoint.dir, or on one machine in a folder of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="opsledger-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base.rstrip('/')}/opsledger/work-{uuid.uuid4().hex}"
+
+
 def folder_catalogue(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
-    """The accessible folders: rows of (name, path, description, always_accessible, available), in order."""
-    return spark.createDataFrame(list(rows), CATALOGUE).where("always_accessible or available").drop("available")
+    """accessible() of rows of (name, path, description, always_accessible, available)."""
+    return accessible(spark.createDataFrame(list(rows), CATALOGUE))
+
+
+def accessible(folders: DataFrame) -> DataFrame:
+    """The folders that are there always, or now."""
+    return folders.where("always_accessible or available").drop("available")
+
+
+def _entry() -> Column:
+    return F.struct("name", "path", "description", F.col("always_accessible").alias("alwaysAccessible"))
+
+
+def catalogue_lines(folders: DataFrame) -> DataFrame:
+    """(value): each folder as a JSON object, every field escaped; a table of any size."""
+    return folders.select(F.to_json(_entry()).alias("value"))
 
 
-def catalogue_json(folders: DataFrame) -> DataFrame:
-    """(value): the catalogue as one JSON array, by name, every field escaped."""
-    row = F.struct("name", "path", "description", F.col("always_accessible").alias("alwaysAccessible"))
-    return folders.agg(F.to_json(F.sort_array(F.collect_list(row))).alias("value"))
+def catalogue_json(folders: DataFrame, most: int = 100_000) -> DataFrame:
+    """(value): a catalogue as one JSON array, by name, every field escaped; an error for more than `most` folders."""
+    told = F.raise_error(F.lit(f"more than {most} folders: use catalogue_lines"))
+    few = folders.limit(most + 1).agg(F.sort_array(F.collect_list(_entry())).alias("all"))
+    return few.select(F.when(F.size("all") > most, told.cast("string")).otherwise(F.to_json("all")).alias("value"))
 
 
 def write_error_log(errors: DataFrame, folder: str, frames: int = 5) -> None:

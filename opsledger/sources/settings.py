@@ -44,11 +44,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return parse(spark.read.text(path, wholetext=True))
 
 
-def to_json(rows: DataFrame, timestamp: int, app_version: str, keep_secrets: bool = False) -> DataFrame:
-    """(value): one settings document of the rows (store, key, type, value); empty stores are left out.
-
-    Secrets are masked unless asked for. Values keep their JSON types; `types` names them for an exact way back.
-    """
+def _stores(rows: DataFrame, keep_secrets: bool) -> DataFrame:
+    """(store, v, t): each store's values and types as the JSON of a member; empty stores are left out."""
     rows = rows if keep_secrets else redacted(rows)
     bare = F.col("type").isin("boolean", "bigint", "int", "float", "double") & (F.col("value") != "***")
     value, kind = F.when(bare, F.col("value")).otherwise(quoted(F.col("value"))), quoted(F.col("type"))
@@ -56,20 +53,52 @@ def to_json(rows: DataFrame, timestamp: int, app_version: str, keep_secrets: boo
     pair = rows.select("store", quoted(F.col("store")).alias("s"), F.struct("key", of_key(value).alias("v"), of_key(kind).alias("t")).alias("p"))
     stores = pair.groupBy("store", "s").agg(F.sort_array(F.collect_list("p")).alias("p"))
     block = lambda field: F.concat(F.lit("    "), F.col("s"), F.lit(": {\n      "), F.array_join(F.col(f"p.{field}"), ",\n      "), F.lit("\n    }"))
-    all_stores = stores.select(F.struct("store", block("v").alias("v"), block("t").alias("t")).alias("b")).agg(F.sort_array(F.collect_list("b")).alias("b"))
-    text = F.concat(F.lit(f'{{\n  "timestamp": {int(timestamp)},\n  "appVersion": '), quoted(F.lit(app_version)),
-                    F.lit(',\n  "settings": {\n'), F.array_join("b.v", ",\n"), F.lit('\n  },\n  "types": {\n'), F.array_join("b.t", ",\n"), F.lit("\n  }\n}"))
-    return all_stores.select(text.alias("value"))
+    return stores.select("store", block("v").alias("v"), block("t").alias("t"))
+
+
+def _document(values: F.Column, kinds: F.Column, timestamp: int, app_version: str) -> F.Column:
+    return F.concat(F.lit(f'{{\n  "timestamp": {int(timestamp)},\n  "appVersion": '), quoted(F.lit(app_version)),
+                    F.lit(',\n  "settings": {\n'), values, F.lit('\n  },\n  "types": {\n'), kinds, F.lit("\n  }\n}"))
+
+
+def documents(rows: DataFrame, timestamp: int, app_version: str, keep_secrets: bool = False) -> DataFrame:
+    """(store, value): a settings document for each store of the rows (store, key, type, value), a table of any size.
+
+    Secrets are masked unless asked for. Values keep their JSON types; `types` names them for an exact way back.
+    """
+    return _stores(rows, keep_secrets).select("store", _document(F.col("v"), F.col("t"), timestamp, app_version).alias("value"))
+
+
+def to_json(rows: DataFrame, timestamp: int, app_version: str, keep_secrets: bool = False, most: int = 10_000) -> DataFrame:
+    """(value): as documents(), but one document of all stores; an error where there are more than `most` of them."""
+    told = F.raise_error(F.lit(f"more than {most} stores: use documents"))
+    few = _stores(rows, keep_secrets).limit(most + 1).agg(F.sort_array(F.collect_list(F.struct("store", "v", "t"))).alias("b"))
+    return few.select(F.when(F.size("b") > most, told.cast("string")).otherwise(_document(F.array_join("b.v", ",\n"), F.array_join("b.t", ",\n"), timestamp, app_version)).alias("value"))
+
+
+def _folder(spark: SparkSession, folder: str, timestamp: int) -> str:
+    name = spark.range(1).select(shown(F.lit(timestamp), FILE_STAMP)).first()[0]
+    return f"{folder}/settings_backup_{name}.json"
 
 
 def write(rows: DataFrame, folder: str, timestamp: int, app_version: str, keep_secrets: bool = False) -> str:
     """Write the document as a text file below folder, in a sub-folder named by its time; returns that folder."""
-    spark = rows.sparkSession
-    name = spark.range(1).select(shown(F.lit(timestamp), FILE_STAMP)).first()[0]
-    to_json(rows, timestamp, app_version, keep_secrets).coalesce(1).write.text(out := f"{folder}/settings_backup_{name}.json")
+    to_json(rows, timestamp, app_version, keep_secrets).coalesce(1).write.text(out := _folder(rows.sparkSession, folder, timestamp))
     return out
 
 
+def write_documents(rows: DataFrame, folder: str, timestamp: int, app_version: str, keep_secrets: bool = False) -> str:
+    """As write(), but a document for each store, as one line of text files, which read_documents() takes."""
+    lines = documents(rows, timestamp, app_version, keep_secrets).select(F.replace("value", F.lit("\n"), F.lit(" ")).alias("value"))
+    lines.write.text(out := _folder(rows.sparkSession, folder, timestamp))
+    return out
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """parse of files with a document a line."""
+    return parse(spark.read.text(path))
+
+
 def restore(rows: DataFrame, ts: int) -> DataFrame:
     """Parsed rows as writes of the key-value log, all in one append; types outside the store's kinds are left out."""
     kept = rows.where(F.col("type").isin("boolean", "int", "bigint", "float", "double", "string")).where(F.col("value") != "***")

@@ -29,6 +29,15 @@ def latest(changes: DataFrame, key: str, time: str, seq: str) -> DataFrame:
     return changes.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(time, seq)).alias("row")).select(key, "row.*")
 
 
+def write_latest(rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Keep the newest rows of a stream in a Parquet folder, replaced by each batch; all that is there now."""
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(folder)
+
+    return rows.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
+
+
 def every(hours: float) -> dict:
     """The trigger of a periodic job; conditions such as charging have no counterpart here."""
     return {"processingTime": f"{int(hours * 3600)} seconds"}

@@ -57,6 +57,7 @@ def test_tiers(spark):
     assert [one(spark, rules.retry_delay_ms(F.lit(x))) for x in (9, 10, 20)] == [300, 500, 1000]
 
 
+# Locators of the platform's own providers, and what is known of them.
 LOCATORS = [
     ("content://com.android.externalstorage.documents/tree/primary%3ADownload", "tree", "/storage/emulated/0/Download"),
     ("content://com.android.externalstorage.documents/tree/1234%3Ax", "tree", None),
@@ -73,6 +74,20 @@ def test_locators(spark, uri, kind, path):
     assert one(spark, rules.locator_path(F.lit(uri))) == path
 
 
+def test_maps(spark):
+    from opsledger.functions import maps
+
+    pairs = F.create_map(F.lit("b"), F.lit("1"), F.lit("token"), F.lit("x"), F.lit("a"), F.lit(None).cast("string"))
+    assert one(spark, maps.sorted_text(maps.masked(pairs))) == "[a=,b=1,token=***]"
+    assert one(spark, maps.sorted_text(maps.present(pairs), ["token"])) == "[token=x,b=1]"
+    assert one(spark, maps.sorted_text(F.lit(None).cast("map<string,string>"))) is None
+
+
+def test_input_and_output_exceptions(spark):
+    for name, action in (("java.net.UnknownHostException", "clear_cache"), ("javax.net.ssl.SSLException", "clear_cache"), ("java.nio.file.NoSuchFileException", "clear_cache"), ("java.lang.IllegalStateException", "none")):
+        assert one(spark, rules.recovery_action(F.lit(name), F.lit("x"))) == action
+
+
 def test_path_access_is_by_folder(spark):
     ask = lambda p, full, there: one(spark, rules.can_access(F.lit(p), F.array(F.lit("/a/files/")), F.lit(full), F.lit(there)))
     assert ask("/a/files/x", False, False) and not ask("/a/files2", False, True) and ask("/b", True, True) and not ask("/b", True, False)

@@ -60,6 +60,8 @@ def test_schedule_defaults_and_last_write(spark):
     assert tuple(keyvalue.schedule(saved).first()) == (True, 6, True, True, "/sdcard/test")
     off = saved.unionByName(keyvalue.put(spark, "schedule", {"enabled": False}, ts=9))
     assert keyvalue.schedule(off).first().enabled is False
+    again = spark.createDataFrame([("j", 24, 1, 1), ("j", 12, 2, 1), ("j", 6, 2, 0), ("k", 1, 1, 1)], "job string, interval_hours int, ts int, seq int")
+    assert {tuple(r) for r in keyvalue.unique_schedules(again).select("job", "interval_hours", "replaced").collect()} == {("j", 12, 2), ("k", 1, 0)}
     thrice = log(spark, *[("schedule", {"enabled": True})] * 3)
     assert keyvalue.store_rows(thrice, "schedule").count() == 1
 

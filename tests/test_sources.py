@@ -110,3 +110,23 @@ def test_latest_value_stream(spark, tmp_path):
     query.awaitTermination()
     assert sorted((r.job, r.status) for r in spark.table("latest").collect()) == [("a", "CONNECTED"), ("b", "ERROR")]
     assert tail.every(6) == {"processingTime": "21600 seconds"}
+
+
+def test_documents_that_would_not_fit_one_row_are_refused(spark):
+    rows = spark.range(8).select(F.concat(F.lit("s"), "id").alias("store"), F.lit("k").alias("key"), F.lit("bigint").alias("type"), F.col("id").cast("string").alias("value"))
+    with pytest.raises(Exception, match="more than 7 stores"):
+        settings.to_json(rows, 1, "v", most=7).collect()
+    assert len(json.loads(settings.to_json(rows, 1, "v", most=8).first().value)["settings"]) == 8
+    assert settings.documents(rows, 1, "v").count() == 8 and settings.documents(rows.limit(0), 1, "v").count() == 0
+    folders = other.accessible(rows.select(F.col("store").alias("name"), F.lit("/").alias("path"), F.lit("d").alias("description"), F.lit(True).alias("always_accessible"), F.lit(True).alias("available")))
+    with pytest.raises(Exception, match="more than 7 folders"):
+        other.catalogue_json(folders, most=7).collect()
+    assert json.loads(other.catalogue_lines(folders).first().value)["alwaysAccessible"] is True
+
+
+def test_workflow_results(spark):
+    from opsledger.operators.aggregates import workflow_results
+
+    steps = spark.createDataFrame([("a", 1, True, None), ("b", 2, False, "second"), ("b", 1, None, None), ("c", 1, False, "why"), ("c", 2, False, "later")], "workflow string, step int, ok boolean, message string")
+    got = {r.workflow: (r.success, r.message, r.details) for r in workflow_results(steps).collect()}
+    assert got == {"a": (True, "all steps passed", "Steps: 1"), "b": (False, "failed", "Steps: 2"), "c": (False, "why", "Steps: 2")}
