@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opsledger.llm.common import cut, remove, scratch
 from opsledger.llm.decontaminate import find_leaks
 from opsledger.llm.exact_dedup import exact_dedup
 from opsledger.llm.kneser_ney import classify
@@ -57,12 +58,19 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_archives(archive(table(spark, sf_dir, "pages")))
+    """What the archives hold; the query's own go once they are read."""
+    folder = scratch(spark, "op3")
+    found = cut(read_archives(archive(table(spark, sf_dir, "pages"), folder)))
+    remove(spark, folder)
+    return found
 
 
 def op9_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the token files hold; the query's own go once they are read."""
     folder = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return token_digests(spark, folder)
+    found = cut(token_digests(spark, folder))
+    remove(spark, folder)
+    return found
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,5 +129,20 @@ FROM g
 """
 
 
+#: All pairs that share a shingle, counted, and the components of those that link.
+OP10 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({AZ}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles FROM s),
+e AS MATERIALIZED (SELECT doc_id, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT p.a, p.b FROM p JOIN n u ON u.doc_id = p.a JOIN n v ON v.doc_id = p.b WHERE 100 * met >= 80 * (u.n_shingles + v.n_shingles - met)),
+r AS (SELECT a AS doc_id, a AS seen FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.seen = l.a)
+SELECT n.doc_id, n.n_shingles, coalesce(m.least, n.doc_id) AS component_id
+FROM n LEFT JOIN (SELECT doc_id, min(seen) AS least FROM r GROUP BY 1) m ON m.doc_id = n.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3, "op4_exact_dedup": OP4, "op5_line_dedup": OP5, "op8_url_filter": OP8}
+    return {"op10_ngram_join": OP10, "op3_warc": OP3, "op4_exact_dedup": OP4, "op5_line_dedup": OP5, "op8_url_filter": OP8}
