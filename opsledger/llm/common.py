@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import shutil
 import tempfile
 import uuid
@@ -109,15 +108,6 @@ def freeing_group(f):
     return run
 
 
-def forget(spark: SparkSession) -> None:
-    """Have Spark drop the shuffle files of jobs that nothing refers to any more, before a large job needs the disk.
-
-    Spark's cleaner does so after a collection of the driver's garbage, as spark.cleaner.periodicGC.interval starts one.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def lower_az(text: Column) -> Column:
     """Lower-case A-Z only. Where every character is one byte, lower() does just that and is faster."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -125,7 +115,7 @@ def lower_az(text: Column) -> Column:
 
 def fits_broadcast(df: DataFrame, row_bytes: int, limit_bytes: int = 64 << 20) -> bool:
     """Whether the rows of a computed table, at most row_bytes each, stay below the limit for a broadcast."""
-    return df.limit(limit_bytes // row_bytes + 1).count() <= limit_bytes // row_bytes
+    return df.count() * row_bytes <= limit_bytes
 
 
 def pieces(spark: SparkSession, total: int, most: int, least: int) -> int:
