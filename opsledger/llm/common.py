@@ -145,19 +145,28 @@ def small_by_bytes(df: DataFrame, size: Column, limit_bytes: int = 64 << 20) ->
     return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= limit_bytes else df
 
 
+def local_table(spark: SparkSession, **columns) -> DataFrame:
+    """A small table of Arrow arrays, which takes no Python worker to make, as rows of Python would."""
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table(columns))
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """docs with a column (long) that numbers its rows, the same each time they are read: by file and place in the file.
 
     The driver gets the names of the files, which Spark's own listing holds too. Tables that aren't read from Parquet
     files are kept in the shared folder first, with their numbers.
     """
+    import pyarrow as pa
+
     path, at, number = fresh(docs, "path", "at", "number")
     try:
         placed = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(at))
     except AnalysisException:
         return cut(docs.withColumn(name, F.monotonically_increasing_id()))
     names = sorted(r[0] for r in placed.select(path).distinct().collect())
-    files = docs.sparkSession.createDataFrame([(x, i) for i, x in enumerate(names)], f"{path} string, {number} long")
+    files = local_table(docs.sparkSession, **{path: pa.array(names, pa.string()), number: pa.array(range(len(names)), pa.int64())})
     joined = placed.join(small_by_bytes(files, F.octet_length(path) + 16), path)
     return joined.select(*docs.columns, (F.shiftleft(number, 40) + F.col(at)).alias(name))
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsledger.llm.common import WORD, cut, freeing_group, small_by_bytes
+from opsledger.llm.common import WORD, cut, freeing_group, local_table, small_by_bytes
 
 #: No document is taken more often than this.
 MOST = 2.0
@@ -35,7 +35,7 @@ def ranked(table: DataFrame, column: str) -> DataFrame:
     for r in sorted(dealt.groupBy("__range").count().collect()):
         offsets.append((r["__range"], before))
         before += r["count"]
-    starts = table.sparkSession.createDataFrame(offsets, "__range int, __before long")
+    starts = local_table(table.sparkSession, __range=pa.array([x for x, _ in offsets], pa.int32()), __before=pa.array([x for _, x in offsets], pa.int64()))
     return dealt.join(F.broadcast(starts), "__range").withColumn("rank", F.col("__before") + F.col("__at")).drop("__range", "__at", "__before")
 
 
@@ -97,17 +97,18 @@ def tilts(histogram: DataFrame, targets: DataFrame, most: float = MOST) -> DataF
     return state.select("source", "tilt", "scale")
 
 
-def _round(pdf: pd.DataFrame) -> pd.DataFrame:
+def _round(table: pa.Table) -> pa.Table:
     """Copies of a block's documents, longest first; each is rounded to where the block's error is least."""
-    pdf = pdf.sort_values(["size", "id", "row"], ascending=[False, True, True], kind="stable")
+    rows = zip(*(table[c].to_pylist() for c in ("size", "id", "row", "rate")))
+    ordered = sorted(rows, key=lambda r: (-r[0], r[1] is None, () if r[1] is None else (r[1],), r[2]))
     copies, error = [], 0.0
-    for size, rate in zip(pdf["size"], pdf["rate"]):
+    for size, _, _, rate in ordered:
         low = int(rate)
         want = rate * size + error
         take = low + (1 if rate > low and abs(want - (low + 1) * size) < abs(want - low * size) else 0)
         error = want - take * size
         copies.append(take)
-    return pdf.assign(copies=copies)[["row", "copies"]]
+    return pa.table([pa.array([r[2] for r in ordered], pa.int64()), pa.array(copies, pa.int64())], names=["row", "copies"])
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: float = MOST, row_col: str | None = None) -> DataFrame:
@@ -141,5 +142,5 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     fine = fine.join(small_by_bytes(crowded, _row_bytes()), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
     parts = F.coalesce(F.ceil(F.col("rows") / BLOCK), F.lit(1))
     fine = fine.withColumn("part", F.pmod(F.xxhash64("row"), parts)).drop("s", "b", "rows")
-    copies = fine.groupBy("source", "block", "part").applyInPandas(freeing_group(_round), "row long, copies long")
+    copies = fine.groupBy("source", "block", "part").applyInArrow(freeing_group(_round), "row long, copies long")
     return rated.join(copies, "row").select(F.col("id").alias(id_col), *["key"][: row_col is not None], "size", "source", "source_size", "target", "rate", "copies")

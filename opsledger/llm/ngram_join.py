@@ -246,7 +246,7 @@ def _join_open(many: DataFrame, sets: DataFrame, links: DataFrame, task_tokens:
         found = _paired(known.join(small(sums.where("in_pairs").select("comp", "open_blocks", "all_blocks"), 40), "comp"), "comp")
         found = found.join(many.select(*key, "n", "tokens"), key).groupBy("comp", "i", "j").applyInArrow(freeing_group(_between), LINKS)
     if not sums.where("not in_pairs").limit(1).count():
-        return spark.createDataFrame([], LINKS) if found is None else found
+        return links.limit(0) if found is None else found
     wide = cut(known.join(small(sums.where("not in_pairs").select("comp"), 16), "comp").select(*key, "w", "open"))
     posts = cut(wide.join(sets.select(*key, F.explode("prefix").alias("token")), key))
     met = posts.groupBy("token").agg(F.count("*").alias("docs"), F.sum("w").alias("all_w"), opened.alias("open_w")).where("docs > 1 and open_w > 0")
