@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 SHOWN, FILE_STAMP, REPORT_STAMP = "yyyy-MM-dd HH:mm:ss", "yyyyMMdd_HHmmss", "yyyy-MM-dd_HH-mm-ss"
 
 
+def stamped(ts: Column, pattern: str = SHOWN) -> Column:
+    """A time stamp as text. Patterns begin with the year, which has no sign beyond 9999 either."""
+    return F.ltrim(F.date_format(ts, pattern), F.lit("+"))
+
+
 def shown(epoch_ms: Column, pattern: str = SHOWN) -> Column:
     """Epoch milliseconds as text."""
-    return F.date_format(F.timestamp_millis(epoch_ms), pattern)
+    return stamped(F.timestamp_millis(epoch_ms), pattern)
 
 
 def older_than(modified: Column, now: Column, hours: int) -> Column:

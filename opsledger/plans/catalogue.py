@@ -114,7 +114,7 @@ def settings_flatten(t):
 SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown FROM r WHERE k = 1""")
 def last_status(t):
     last = relational.last_written(t.events.select("user_id", "event_type", "ts", "event_id"), ["user_id"], "ts", "event_id")
-    return last.select("user_id", "event_type", F.date_format("ts", times.SHOWN).alias("shown"))
+    return last.select("user_id", "event_type", times.stamped(F.col("ts")).alias("shown"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE 'Last backup: ' || strftime(make_timestamp(event_id * 86400000000 + 1700000000000000), '%Y-%m-%d %H:%M:%S')
@@ -360,7 +360,7 @@ def scalar_functions(t):
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown, strftime(ts, '%Y%m%d_%H%M%S') AS file_stamp, strftime(ts, '%Y-%m-%d_%H-%M-%S') AS report_stamp FROM events")
 def time_formats(t):
-    return t.events.select("event_id", *[F.date_format("ts", p).alias(n) for n, p in (("shown", times.SHOWN), ("file_stamp", times.FILE_STAMP), ("report_stamp", times.REPORT_STAMP))])
+    return t.events.select("event_id", *[times.stamped(F.col("ts"), p).alias(n) for n, p in (("shown", times.SHOWN), ("file_stamp", times.FILE_STAMP), ("report_stamp", times.REPORT_STAMP))])
 
 
 @query("SELECT p_partkey, coalesce(try_cast(CASE WHEN p_size % 3 = 0 THEN 'x' ELSE CAST(p_size AS VARCHAR) END AS INTEGER), 51515) AS port FROM part")

@@ -42,6 +42,13 @@ def test_times(spark):
     assert one(spark, times.last_run_status(F.lit(1000).cast("bigint"), F.lit(False))).endswith("(Failed)")
 
 
+def test_years_beyond_9999_have_no_sign(spark):
+    ms = F.lit(4_000_000 * 86_400_000 + 1_700_000_000_000).cast("bigint")
+    assert one(spark, times.shown(ms)) == "12975-07-01 22:13:20"
+    assert one(spark, times.shown(ms, times.FILE_STAMP)) == "129750701_221320"
+    assert one(spark, times.last_run_status(ms, F.lit(True))) == "Last backup: 12975-07-01 22:13:20 (Success)"
+
+
 def test_three_meanings_of_a_code(spark):
     codes = [200, 302, 401, 403, 404, None]
     col = lambda c: F.lit(c).cast("int")
