@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsledger.llm import bloom
 from opsledger.llm.blocks import SCHEMA, batch_of, block_bytes, blocks_of, packed, spread, unpacked
-from opsledger.llm.common import connected_components, cut, freeing, freeing_group, pieces, small
+from opsledger.llm.common import connected_components, cut, freeing, freeing_group, fresh, lower_az, pieces, small
 from opsledger.llm.shingle_trie import cross_links, self_links
 from opsledger.llm.wordhash import shingle_sets
 
@@ -24,17 +25,17 @@ TASK_TOKENS, DOC_WEIGHT = 32_000, 64
 #: What a token costs that goes to the task of a prefix shingle, against one that goes to a pair of blocks.
 COPY_COST = 1.0
 POSTINGS, META = 0, 1
-SETS = "doc_id long, n long, k1 long, k2 long, prefix array<long>, tokens binary"
+SETS = "doc_id long, h1 long, h2 long, n long, k1 long, k2 long, prefix array<long>, tokens binary"
 
 
-def _block_rows(block: int, ids: list, texts: list[bytes], ranges: int) -> Iterator[pa.RecordBatch]:
+def _block_rows(block: int, ids: list, marks: list[list], texts: list[bytes], ranges: int) -> Iterator[pa.RecordBatch]:
     """What a block of documents sends: its shingles to their hash ranges, and what only it needs back, on any range."""
     sets = shingle_sets(texts)
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
     digests = b"".join(blake2b(x.tobytes(), digest_size=16).digest() for x in sets)
     names = np.array([0 if k is None else k for k in ids], dtype=np.int64)
     absent = np.array([k is None for k in ids], dtype=np.uint8)
-    meta = packed(names.view(np.int64), absent, sizes) + digests
+    meta = packed(names.view(np.int64), absent, sizes, *(np.array(x, dtype=np.int64) for x in marks)) + digests
     tokens = np.concatenate(sets)
     docs = np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
     order = np.argsort(tokens, kind="stable")
@@ -57,7 +58,7 @@ def _block_rows(block: int, ids: list, texts: list[bytes], ranges: int) -> Itera
 def _to_ranges(ranges: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, columns, texts in blocks_of(batches, size):
-            yield from _block_rows(block, columns[0], texts, ranges)
+            yield from _block_rows(block, columns[0], columns[1:], texts, ranges)
 
     return run
 
@@ -96,7 +97,7 @@ def _share(table: pa.Table) -> pa.Table:
 
 def _collect(table: pa.Table) -> pa.Table:
     """A block's documents with their shared shingles in the global order, and the part of them in the prefix."""
-    names = absent = sizes = digests = None
+    names = absent = sizes = h1 = h2 = digests = None
     tokens, docs, kinds = [], [], []
     for kind, data in zip(table["kind"].to_pylist(), table["data"]):
         data = data.as_py()
@@ -104,7 +105,7 @@ def _collect(table: pa.Table) -> pa.Table:
             n = int(np.frombuffer(data, np.int64, 1)[0])
             meta = data[8 : 8 + n]
             hot, where = unpacked(data[8 + n :], "u8", "u4")
-            names, absent, sizes = unpacked(meta, "i8", "u1", "i8")
+            names, absent, sizes, h1, h2 = unpacked(meta, "i8", "u1", "i8", "i8", "i8")
             digests = np.frombuffer(meta[len(meta) - 16 * len(names) :], dtype="<i8").reshape(-1, 2)
             tokens.append(hot)
             docs.append(where)
@@ -129,11 +130,26 @@ def _collect(table: pa.Table) -> pa.Table:
             prefixes.append(ordered[:0].view(np.int64))
             sets.append(None)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]), pa.int32()), pa.array(np.concatenate(prefixes), pa.int64()))
-    return pa.table([pa.array(names, mask=absent.astype(bool)), pa.array(sizes), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), lists, pa.array(sets, pa.binary())], names=["doc_id", "n", "k1", "k2", "prefix", "tokens"])
+    return pa.table([pa.array(names, mask=absent.astype(bool)), pa.array(h1), pa.array(h2), pa.array(sizes), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), lists, pa.array(sets, pa.binary())], names=["doc_id", "h1", "h2", "n", "k1", "k2", "prefix", "tokens"])
 
 
-def ordered_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, k1, k2, prefix, tokens) of each document: its set's size and digest, and where it may link at all,
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, h1, h2, text): two 64-bit hashes of each text, lower case in A-Z, tell equal ones."""
+    lower = lower_az(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    hashes = F.xxhash64(lower).alias("h1"), F.xxhash64(F.lit(5), lower).alias("h2")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *hashes, F.col(text_col).cast("binary").alias("text"))
+
+
+def _first_copies(texts: DataFrame, groups: DataFrame) -> DataFrame:
+    """texts without most rows that aren't the first of their group: a Bloom filter of the first ones decides."""
+    may, = fresh(texts, "may")
+    n = bloom.pieces_for(groups.count())
+    first = bloom.once(bloom.spots(groups, F.xxhash64("h1", "h2", "keep"), n))
+    return bloom.tested(bloom.spots(texts, F.xxhash64("h1", "h2", "doc_id"), n), first, may).where(may).drop(may)
+
+
+def ordered_sets(texts: DataFrame) -> DataFrame:
+    """(doc_id, h1, h2, n, k1, k2, prefix, tokens) of each row of _marked(): its set's size and digest, and where it may link at all,
     the shingles that other documents have too, in the global order: by frequency class, then by hash.
 
     Blocks of documents send each shingle once to its hash range, which counts its documents; those of one document
@@ -141,8 +157,7 @@ def ordered_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     back. A shingle of FREQUENT documents of one block is the most frequent class everywhere and sends one entry, so a
     hot shingle costs its range no more than a row a block.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    spark = texts.sparkSession
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     size = block_bytes(total)
     ranges = pieces(spark, total, max(RANGE_BYTES, size), 1 << 20)
@@ -270,13 +285,29 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     that chains of links reach, itself included. Equal sets are one set for the join and link by their digest of 128
     bits; shingles are 64-bit hashes (56 bits order a set), so that two different documents are misjudged with a chance
     of about 1e-11. Rows of equal id are one document with several sets; rows of null id have no links and a null
-    component. Texts are read once, whole; neither copies nor near copies are ever paired one by one.
+    component. Of equal texts (by 128 bits) only the row of the smallest id sends its shingles, so that copies take no
+    disk; the others have its size and link with it. Neither copies nor near copies are ever paired one by one.
     """
-    sets = ordered_sets(docs, id_col, text_col)
+    texts = _marked(docs, id_col, text_col)
+    rows = cut(texts.drop("text"))
+    groups = cut(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep"), F.count("*").alias("rows")))
+    twins = cut(groups.where("rows > 1").drop("rows"))
+    later = cut(rows.join(small(twins, 40), ["h1", "h2"]).where("not doc_id <=> keep"))
+    repeated = later.limit(1).count() > 0
+    sets = ordered_sets(_first_copies(texts, groups) if repeated else texts)
+    if repeated:  # the filter may let some later copies through
+        sets = sets.join(small(twins, 40), ["h1", "h2"], "left").where("keep is null or doc_id <=> keep").drop("keep")
     named = sets.where("n > 0 and doc_id is not null").select("doc_id", "n", "k1", "k2")
     copies = cut(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("far")).where("rep <> far").drop("far"))
     equal = cut(named.join(small(copies, 40), ["k1", "k2"]).where("doc_id <> rep").select("doc_id", "k1", "k2", "rep"))
     links = similar_links(sets.join(small(equal.drop("rep").distinct(), 40), ["doc_id", "k1", "k2"], "left_anti"), task_tokens)
-    parts = connected_components(links.unionByName(equal.select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))), "src", "dst")
-    joined = sets.select("doc_id", "n").join(parts, F.col("doc_id") == F.col("node"), "left")
+    links = links.unionByName(equal.select(F.col("doc_id").alias("src"), F.col("rep").alias("dst")))
+    sizes = sets.select("doc_id", "n")
+    if repeated:
+        n_of = cut(sets.join(small(twins.select("h1", "h2"), 32), ["h1", "h2"], "left_semi").select("h1", "h2", "n").distinct())
+        again = later.join(small(n_of, 40), ["h1", "h2"]).select("doc_id", "keep", "n")
+        links = links.unionByName(again.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("src"), F.col("keep").alias("dst")))
+        sizes = sizes.unionByName(again.select("doc_id", "n"))
+    parts = connected_components(links, "src", "dst")
+    joined = sizes.join(parts, F.col("doc_id") == F.col("node"), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

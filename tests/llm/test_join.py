@@ -84,6 +84,20 @@ def test_frequent_shingles(spark, monkeypatch):
     assert Counter(map(tuple, ngram_components(frame(spark, rows)).collect())) == brute(rows)
 
 
+def test_equal_texts_send_their_shingles_once(spark, monkeypatch):
+    """Each text six times over, in either case: what is exchanged and kept is that of one copy."""
+    from opsledger.llm import ngram_join
+
+    rows = corpus(4, 40)
+    more = [(None if k is None else k + 1000 * c, t.upper() if t and c % 2 else t, *x) for c in range(6) for k, t, *x in rows]
+    seen, made = [], ngram_join.ordered_sets
+    monkeypatch.setattr(ngram_join, "ordered_sets", lambda *x: seen.append(made(*x)) or seen[-1])
+    got = Counter(map(tuple, ngram_components(frame(spark, more)).collect()))
+    assert got == brute(more)
+    distinct = len({(t or "").translate(AZ) for _, t, *_ in rows})
+    assert distinct <= seen[0].where("doc_id is not null").count() <= distinct + 4
+
+
 def test_empty_table(none):
     assert ngram_components(none).count() == 0
 
