@@ -72,3 +72,13 @@ def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     flagged = tested(spots(docs, F.xxhash64(key), pieces), once(spots(gone, F.xxhash64(name), pieces)), may)
     doubtful = flagged.where(may).join(gone, F.col(key) == F.col(name), "left_anti")
     return doubtful.unionByName(flagged.where(~F.col(may))).drop(may)
+
+
+def only(docs: DataFrame, key: str, kept: DataFrame) -> DataFrame:
+    """docs' rows whose key (long) is in the one column of kept, a computed table; as without(), few rows else shuffle."""
+    name, may = kept.columns[0], fresh(docs, "may")[0]
+    marked = small(kept, 24)
+    if marked is kept:
+        pieces = pieces_for(kept.count())
+        docs = tested(spots(docs, F.xxhash64(F.col(key).cast("long")), pieces), once(spots(kept, F.xxhash64(name), pieces)), may).where(may).drop(may)
+    return docs.join(marked, F.col(key) == F.col(name), "left_semi")

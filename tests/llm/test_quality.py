@@ -177,3 +177,46 @@ def test_all_trusted_documents_that_train_nothing_set_thresholds(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id bigint, quality int, toxic int")
     limits = {(r.lang, r.threshold) for r in kn.classify(frame(spark, rows), labels, train_docs=100).collect()}
     assert len(limits) == 2 and len({x for _, x in limits}) == 2
+
+
+def test_all_trusted_documents_but_the_held_out_train(spark, monkeypatch):
+    """More than any earlier bound of a sample: every one of them trains, and the others set thresholds."""
+    class Seen(Exception):
+        pass
+
+    def surprise(docs, train, *rest):
+        raise Seen(train.count())
+
+    monkeypatch.setattr(kn, "surprise", surprise)
+    ids = spark.range(260_000).withColumnRenamed("id", "doc_id")
+    docs = ids.selectExpr("doc_id", "'w1 w2' AS text", "'en' AS lang")
+    with pytest.raises(Seen) as e:
+        kn.classify(docs, ids.selectExpr("doc_id", "1 AS quality", "0 AS toxic"))
+    assert e.value.args[0] == ids.selectExpr(f"pmod(xxhash64(7, doc_id), {kn.HELD_OUT}) <> 0 AS k").where("k").count() > 200_000
+
+
+def test_more_training_text_has_more_shards_and_ids_keep_the_most_frequent_words(spark, monkeypatch):
+    monkeypatch.setattr(kn, "SHARD_BYTES", 64)
+    monkeypatch.setattr(kn, "IDS", kn.FIRST_WORD + 6)
+    rng = random.Random(12)
+    train = [" ".join(rng.choices([f"w{i}" for i in range(12)], weights=range(4, 16), k=40)) for _ in range(80)]
+    seen, learn = [], kn.learn
+    monkeypatch.setattr(kn, "learn", lambda *x: seen.append(learn(*x)) or seen[-1])
+    as_rows = lambda texts: frame(spark, [(i, t, "en", None) for i, t in enumerate(texts)])
+    got = {r.doc_id: r.bits for r in kn.surprise(as_rows(train[:8]), as_rows(train)).collect()}
+    lookups, paths = seen[0]
+    counts = sorted(Counter(w for t in train for w in t.split()).values())
+    assert lookups.model.shards == len(paths) > kn.SHARDS and len(lookups.words.hashes) == sum(n > counts[-7] for n in counts)
+    for i, t in enumerate(train[:8]):
+        assert got[i] == pytest.approx(reference(train, t, counts[-7] + 1), rel=2e-3)
+
+
+def test_ids_beyond_a_broadcast_are_sought_by_a_filter(spark, monkeypatch):
+    from opsledger.llm import bloom
+
+    docs = frame(spark, [(i % 90, "x", "en", None) for i in range(100)] + [(None, "y", "en", None)])
+    kept = spark.range(0, 200, 3).toDF("wanted")
+    want = sorted(i % 90 for i in range(100) if i % 90 % 3 == 0)
+    for small in (bloom.small, lambda df, _: df):
+        monkeypatch.setattr(bloom, "small", small)
+        assert sorted(r.doc_id for r in bloom.only(docs, "doc_id", kept).collect()) == want
