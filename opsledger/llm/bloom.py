@@ -60,8 +60,8 @@ def tested(spotted: DataFrame, filter_: DataFrame, name: str) -> DataFrame:
 def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """docs without the rows whose key (long, never null) is in the one column of gone.
 
-    The keys are broadcast where they are few; else a Bloom filter of them is, and only rows that it lets through are
-    shuffled to the keys, while the others pass.
+    The keys are broadcast where they are few; else a Bloom filter of them is. Of rows that it lets through, which are
+    most where most go, only the keys are shuffled; those that aren't gone after all are few, and broadcast in their turn.
     """
     name, may = fresh(docs, "gone", "may")
     gone = cut(gone.toDF(name).distinct())
@@ -70,8 +70,10 @@ def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
         return docs.join(marked, F.col(key) == F.col(name), "left_anti")
     pieces = pieces_for(gone.count())
     flagged = tested(spots(docs, F.xxhash64(key), pieces), once(spots(gone, F.xxhash64(name), pieces)), may)
-    doubtful = flagged.where(may).join(gone, F.col(key) == F.col(name), "left_anti")
-    return doubtful.unionByName(flagged.where(~F.col(may))).drop(may)
+    stays, = fresh(docs, "stays")
+    doubtful = cut(flagged.where(may).select(F.col(key).alias(stays)).join(gone, F.col(stays) == F.col(name), "left_anti").distinct())
+    kept = flagged.where(may).join(small(doubtful, 24), F.col(key) == F.col(stays), "left_semi")
+    return kept.unionByName(flagged.where(~F.col(may))).drop(may)
 
 
 def only(docs: DataFrame, key: str, kept: DataFrame) -> DataFrame:
