@@ -26,6 +26,23 @@ def test_encoder_is_the_tokenizer(file):
             assert np.frombuffer(encoder.ids(text), dtype="<i4").tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_marks_and_capitals_of_latin_texts_take_no_runs_of_their_own():
+    """word, Word. and WORD,. are one run; any order of letters, digits, marks and other signs gives the tokenizer's ids."""
+    import random
+
+    encoder, rng = Encoder(PATH), random.Random(4)
+    encoder.ids("häuser Häuser. HÄUSER,. (häuser) word Word. été. Été;")
+    assert {"häuser", "word", "été", ".", ",.", ";"} <= set(encoder) and not {"Häuser.", "häuser.", "HÄUSER,.", "été.", "Été;"} & set(encoder)
+    signs = [*".,!?;:%&*#$'()-_<|>~ \n\t", *"abSZ09", *"äÉßÿµªº²\xa0\xad\xd7\xf7", "\u0301", "\u0338", "\u037e", "İ", "ſ", "日", "'s", "...", "\U0001f600"]
+    for n in range(3000):
+        text = "".join(rng.choices(signs[: rng.choice([30, 42, len(signs)])], k=rng.choice([3, 12, 40])))
+        assert encoder.ids(text) == tokens_of(encoder, text), text
+
+
+def tokens_of(encoder, text):
+    return np.array([*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1], dtype="<i4").tobytes()
+
+
 def test_files(spark, docs, rows, none):
     from tokenizers import Tokenizer
 
